@@ -276,8 +276,9 @@ POSITIONS = f"""positions AS (
 COUNTS = """three AS (SELECT c2, c1, w, count(*) AS n FROM positions WHERE split = 'train' AND c2 <> 0 GROUP BY ALL),
 two AS (SELECT c1, w, count(*) AS n FROM positions WHERE split = 'train' GROUP BY ALL),
 one AS (SELECT w, count(*) AS n FROM positions WHERE split = 'train' GROUP BY ALL)"""
-SMOOTHED = f"""size AS (SELECT count(*) + {len(MARKS) + SENTINELS} AS v FROM vocab),
-p_one AS (SELECT w, (n + 1.0::DOUBLE / v) / (sum(n) OVER () + 1.0::DOUBLE) AS p FROM one, size),
+SMOOTHED = f"""{RESERVED}, entries AS (SELECT id FROM vocab UNION ALL SELECT id FROM reserved),
+p_one AS (SELECT id AS w, (coalesce(n, 0) + 1.0::DOUBLE / count(*) OVER ()) / (sum(n) OVER () + 1.0::DOUBLE) AS p
+    FROM entries LEFT JOIN one ON one.w = id),
 p_two AS (SELECT c1, w, (n + p) / (total + 1) AS p, 1 / (total + 1) AS k
     FROM (SELECT *, sum(n) OVER (PARTITION BY c1)::DOUBLE AS total FROM two) JOIN p_one USING (w)),
 p_three AS (SELECT c2, c1, w, (n + p_two.p) / (total + 1) AS p, 1 / (total + 1) AS k

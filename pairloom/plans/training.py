@@ -63,8 +63,7 @@ class Fitted:
 
 def fit(corpus: Corpus, epochs: int = EPOCHS) -> Fitted:
     train = corpus.encoded.filter(F.col("split") == "train")
-    size = corpus.vocabulary.count()
-    return Fitted(fit_ngrams(train, size), fit_alignment(train, epochs))
+    return Fitted(fit_ngrams(train, corpus.vocabulary), fit_alignment(train, epochs))
 
 
 def token_losses(encoded: DataFrame, model: PairModel) -> DataFrame:
