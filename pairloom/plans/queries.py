@@ -45,7 +45,7 @@ def six(column: str) -> Column:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return P.read_table(spark, f"{sf}/{name}.parquet")
 
 
 def document_pairs(spark: SparkSession, sf: str) -> DataFrame:

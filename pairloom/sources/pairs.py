@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from pairloom.settings import INPUT_COLUMN, OUTPUT_COLUMN
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One that comes in fewer pieces than there are task slots is spread over all of them, so that
+    work per text does not wait for one task; a large table is read as it is, without a shuffle."""
+    df = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def read_pairs(spark: SparkSession, location: str, table: str | None = None, **options) -> DataFrame:
     """A whole pair table: Parquet by path, SQLite by database file and table name, or JDBC by url and table name."""
     if location.startswith("jdbc:"):
@@ -17,7 +25,7 @@ def read_pairs(spark: SparkSession, location: str, table: str | None = None, **o
 
         spark.dataSource.register(SqliteSource)
         return spark.read.format("sqlite_table").options(path=location, table=table, **options).load()
-    return spark.read.parquet(location)
+    return read_table(spark, location)
 
 
 def select_pairs(df: DataFrame, source: str = INPUT_COLUMN, target: str = OUTPUT_COLUMN, key: str = "pair_id") -> DataFrame:
