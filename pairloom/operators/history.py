@@ -78,14 +78,20 @@ def run_summary(history: DataFrame, steps: int, patience: int = PATIENCE, **rate
 def history_from_events(events: DataFrame, per_type: bool = True) -> DataFrame:
     """A history out of an event table: days are epochs, even users train, odd users validate.
 
-    The accuracy columns are the shares of events with a value above 50.
+    The accuracy columns are the shares of events with a value above 50. Values are added as decimals, so the order
+    in which tasks finish cannot change a loss.
     """
     train = F.col("user_id") % 2 == 0
     run = F.col("event_type") if per_type else F.lit("all")
-    value, above = F.col("value"), (F.col("value") > 50).cast("double")
+    value, above = F.col("value").cast("decimal(20,6)"), (F.col("value") > 50).cast("double")
+
+    def mean(rows):
+        total, n = F.sum(F.when(rows, value)), F.count_if(rows)
+        return F.round(F.try_divide(total, n), 6).cast("double")
+
     return events.groupBy(run.alias("run_id"), F.dayofmonth("ts").alias("epoch")).agg(
-        F.round(F.avg(F.when(train, value)), 6).alias("loss"),
-        F.round(F.avg(F.when(~train, value)), 6).alias("val_loss"),
+        mean(train).alias("loss"),
+        mean(~train).alias("val_loss"),
         F.round(F.avg(F.when(train, above)), 6).alias("masked_accuracy"),
         F.round(F.avg(F.when(~train, above)), 6).alias("val_masked_accuracy"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,26 +84,33 @@ def rank_by_id(rows: DataFrame, column: str, bounds: list[int] | None = None) ->
     return _with_ranks(rows.withColumn("bucket", range_bucket(F.col(column), bounds)), [column], [])
 
 
-def smallest_by_hash(rows: DataFrame, key: Column, tie: str, take: int) -> tuple[str, int] | None:
-    """The last (key, tie) among the ``take`` smallest. Rows are only counted; one bucket is sorted, none is shuffled whole."""
-    if take < 1:
-        return None
+def smallest_by_hash(rows: DataFrame, key: Column, tie: str, fraction: float) -> tuple[str, int] | None:
+    """The last (key, tie) among the ``ceil(fraction * n)`` smallest, or None if that is no row.
+
+    Rows are only counted per bucket, once; then one bucket is sorted. Nothing is shuffled whole.
+    """
     hashed = rows.select(key.alias("key"), F.col(tie).alias("tie")).withColumn("bucket", F.substring("key", 1, 4))
     sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    upto = sizes.withColumn("upto", F.sum("size").over(W.orderBy("bucket")))
-    hit = upto.filter(F.col("upto") >= take).orderBy("upto").first()
+    running = F.sum("size").over(W.orderBy("bucket"))
+    wanted = F.ceil(F.lit(float(fraction)) * F.sum("size").over(W.partitionBy()))
+    upto = sizes.select("bucket", "size", running.alias("upto"), wanted.alias("wanted"))
+    hit = upto.filter((F.col("wanted") > 0) & (F.col("upto") >= F.col("wanted"))).orderBy("upto").first()
     if hit is None:
         return None
-    rest = take - (hit["upto"] - hit["size"])
+    rest = hit["wanted"] - (hit["upto"] - hit["size"])
     inside = hashed.filter(F.col("bucket") == hit["bucket"])
     ranked = inside.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("key", "tie")))
     last = ranked.filter(F.col("rank") == rest).first()
     return last["key"], last["tie"]
 
 
-def smallest_by_id(rows: DataFrame, column: str, take: int, cells: int = 4096) -> int | None:
-    """The ``take``-th smallest value of a whole-number column, by counting in ever finer cells."""
+def smallest_by_id(rows: DataFrame, column: str, place: Callable[[int], int], cells: int = 4096) -> int | None:
+    """The value that is ``place(n)``-th smallest of ``n`` whole numbers, by counting in ever finer cells.
+
+    None if there is no such place.
+    """
     ends = rows.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
+    take = place(ends["n"])
     if take < 1 or take > ends["n"]:
         return None
     low, high = ends["low"], ends["high"]

@@ -23,14 +23,10 @@ def split_fraction(pairs: DataFrame, fraction: float = TEST_FRACTION, seed: int
     return pairs.withColumn("split", F.when(bucket < round(fraction * 1000), "test").otherwise("train"))
 
 
-def test_rows(n: int, fraction: float) -> int:
-    return math.ceil(fraction * n)
-
-
 def split_exact(pairs: DataFrame, fraction: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
     """Exactly ``ceil(fraction * n)`` rows to ``test``, chosen by hash. Rows are compared with one cut-off, not sorted."""
     key = hash_key(seed, F.col("pair_id"))
-    last = smallest_by_hash(pairs, key, "pair_id", test_rows(pairs.count(), fraction))
+    last = smallest_by_hash(pairs, key, "pair_id", fraction)
     if last is None:
         return split_disabled(pairs)
     h, tie = last
@@ -40,10 +36,10 @@ def split_exact(pairs: DataFrame, fraction: float = TEST_FRACTION, seed: int = S
 
 def split_tail(pairs: DataFrame, fraction: float = TEST_FRACTION) -> DataFrame:
     """The last ``ceil(fraction * n)`` ids are ``test``, again by one cut-off."""
-    n = pairs.count()
-    cut = smallest_by_id(pairs, "pair_id", n - test_rows(n, fraction))
-    inside = F.lit(True) if cut is None else F.col("pair_id") > cut
-    return pairs.withColumn("split", F.when(inside, "test").otherwise("train")) if n else split_disabled(pairs)
+    cut = smallest_by_id(pairs, "pair_id", lambda n: n - math.ceil(fraction * n) + 1)
+    if cut is None:
+        return split_disabled(pairs)
+    return pairs.withColumn("split", F.when(F.col("pair_id") >= cut, "test").otherwise("train"))
 
 
 def split_counts(pairs: DataFrame) -> DataFrame:

@@ -100,8 +100,14 @@ sql("stage_reuse", "SELECT split, count(*) AS rows, 2::BIGINT AS builds FROM spl
 def history(run: str) -> str:
     even, odd = "user_id % 2 = 0", "user_id % 2 <> 0"
     above = "(value > 50)::INT"
+
+    def mean(rows: str) -> str:
+        """Rounded half up in whole millionths."""
+        total, n = f"sum(round(value * 1000000)::HUGEINT) FILTER ({rows})", f"count(*) FILTER ({rows})"
+        return f"((2 * {total} + {n}) // nullif(2 * {n}, 0))::DOUBLE / 1000000"
+
     return f"""SELECT {run} AS run_id, day(ts) AS epoch,
-        round(avg(value) FILTER ({even}), 6) AS loss, round(avg(value) FILTER ({odd}), 6) AS val_loss,
+        {mean(even)} AS loss, {mean(odd)} AS val_loss,
         round(avg({above}) FILTER ({even}), 6) AS masked_accuracy,
         round(avg({above}) FILTER ({odd}), 6) AS val_masked_accuracy FROM events GROUP BY ALL"""
 
@@ -149,7 +155,7 @@ sql("corpus_chunks", "SELECT pair_id, (row_number() OVER (ORDER BY pair_id) - 1)
 sql("vocab_words", "SELECT token, id, n FROM vocab", *DOC_VOCAB)
 sql("vocab_size", f"SELECT count(*) + {len(MARKS) + SENTINELS} AS size FROM vocab", *DOC_VOCAB)
 sql(
-    "special_token_usage",
+    "special_tokens",
     """SELECT r.id::BIGINT AS id, token, (r.id >= 4)::BIGINT AS lstrip, 1::BIGINT AS normalized, 0::BIGINT AS rstrip,
         0::BIGINT AS single_word, 1::BIGINT AS special, roles, coalesce(uses, 0) AS uses
     FROM reserved r LEFT JOIN used u ON u.id = r.id""",
@@ -409,7 +415,7 @@ sql("embed_tokens",
                  "placed JOIN vectors USING (id)", "GROUP BY pair_id"),
     *TURN_ENCODED, RESERVED, VECTORS,
     f"placed AS (SELECT * FROM (SELECT pair_id, unnest(input_ids) AS id, unnest(range({L})) AS pos FROM encoded) WHERE id <> 0)")
-sql("positional_signal",
+sql("positional_table",
     "SELECT pos, count(*) AS rows, "
     + ", ".join(f"round(sum({angle(i)}), 6) AS d{i}" for i in (0, 1, 31, 32, 33, 63))
     + " FROM placed GROUP BY pos",

@@ -212,7 +212,7 @@ def vocab_size(spark, sf):
 
 
 @query
-def special_token_usage(spark, sf):
+def special_tokens(spark, sf):
     """The reserved tokens and how often encoded inputs and outputs hold each."""
     ids = encoded_documents(spark, sf).select(F.explode(F.concat("input_ids", "targ_in")).alias("id"))
     used = ids.groupBy("id").agg(F.count(F.lit(1)).alias("uses"))
@@ -587,7 +587,7 @@ def embed_tokens(spark, sf):
 
 
 @query
-def positional_signal(spark, sf):
+def positional_table(spark, sf):
     """The position signal, summed over the unmasked positions of each pair's input."""
     corpus = _corpus(spark, sf)
     taken = corpus.encoded.select("pair_id", F.posexplode("input_ids").alias("pos", "id")).filter(F.col("id") != 0)

@@ -29,8 +29,8 @@ def test_smallest_by_id_in_clustered_ids(spark):
     ids = spark.range(1000).selectExpr("if(id < 900, id, id * 1000000007) as x")
     values = sorted(r["x"] for r in ids.collect())
     for take in (1, 500, 900, 901, 1000):
-        assert ranking.smallest_by_id(ids, "x", take, cells=16) == values[take - 1]
-    assert ranking.smallest_by_id(ids, "x", 1001) is None
+        assert ranking.smallest_by_id(ids, "x", lambda n: take, cells=16) == values[take - 1]
+    assert ranking.smallest_by_id(ids, "x", lambda n: n + 1) is None
 
 
 def test_splits_and_batches_do_not_depend_on_partitioning(spark):
