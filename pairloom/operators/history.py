@@ -19,7 +19,8 @@ def by_epoch():
 
 def _improving(history: DataFrame) -> DataFrame:
     before = F.min("val_loss").over(by_epoch().rowsBetween(W.unboundedPreceding, -1))
-    return history.withColumn("improved", before.isNull() | (F.col("val_loss") < before))
+    better = F.col("val_loss").isNotNull() & (before.isNull() | (F.col("val_loss") < before))
+    return history.withColumn("improved", better)
 
 
 def early_stop(history: DataFrame, patience: int = PATIENCE) -> DataFrame:

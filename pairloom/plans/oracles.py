@@ -248,7 +248,7 @@ sql("lr_by_batch", f"SELECT DISTINCT batch_id, batch_id + 1 AS step, {rate('(bat
     *DOC_LIMITED)
 
 STOPS = f"""improving AS (
-    SELECT *, coalesce(val_loss < min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
+    SELECT *, val_loss IS NOT NULL AND coalesce(val_loss < min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM history),
 waiting AS (
     SELECT *, epoch - max(epoch) FILTER (improved) OVER (PARTITION BY run_id ORDER BY epoch) AS waited FROM improving),
@@ -266,11 +266,11 @@ sql("loss_series",
 sql("performance_tier",
     """SELECT run_id, val_loss, CASE WHEN val_loss < 0.2 THEN 'excellent' WHEN val_loss < 0.5 THEN 'good'
         ELSE 'needs training' END AS tier
-    FROM (SELECT run_id, round(arg_max(val_loss, epoch) / 150, 6) AS val_loss FROM history GROUP BY run_id)""", HISTORY)
+    FROM (SELECT run_id, round(arg_max_null(val_loss, epoch) / 150, 6) AS val_loss FROM history GROUP BY run_id)""", HISTORY)
 sql("run_summary",
     f"""SELECT run_id, last_epoch, stopped_epoch, val_loss, val_masked_accuracy, {rate('(last_epoch * steps)')} AS final_rate
     FROM (SELECT run_id, max(epoch) AS last_epoch, any_value(stopped_epoch) AS stopped_epoch,
-            arg_max(val_loss, epoch) AS val_loss, arg_max(val_masked_accuracy, epoch) AS val_masked_accuracy
+            arg_max_null(val_loss, epoch) AS val_loss, arg_max_null(val_masked_accuracy, epoch) AS val_masked_accuracy
         FROM ran GROUP BY run_id), (SELECT count(*) // {TRAIN_BATCH} AS steps FROM split WHERE split = 'train')""",
     HISTORY, STOPS, *DOC_SPLIT)
 

@@ -72,3 +72,8 @@ def test_series(spark, rows):
     assert rows(history.loss_series(runs(spark, a=[2.0]))) == [
         ("a", 1, "Training Loss", 1.0), ("a", 1, "Validation Loss", 2.0)
     ]
+
+
+def test_an_epoch_without_validation_loss_does_not_improve(spark, rows):
+    df = runs(spark, a=[9, 3, 4]).withColumn("val_loss", F.when(F.col("epoch") > 1, F.col("val_loss")))
+    assert rows(history.best_epochs(df)) == [("a", 2, 3.0)]
