@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.sequences import truncate
 from pairloom.settings import MASK, SENTINELS, SENTINELS_START
-from pairloom.workspace import stage
+from pairloom.workspace import stage, travels_with_tasks
+
+travels_with_tasks(__name__)
 
 # Words keep a leading blank, so the pieces of a text join back to the text itself.
 PIECE_PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

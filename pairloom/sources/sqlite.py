@@ -7,6 +7,10 @@ import sqlite3
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
+from pairloom.workspace import travels_with_tasks
+
+travels_with_tasks(__name__)
+
 AFFINITY = {"INT": LongType(), "CHAR": StringType(), "CLOB": StringType(), "TEXT": StringType(), "BLOB": BinaryType()}
 AFFINITY |= {"REAL": DoubleType(), "FLOA": DoubleType(), "DOUB": DoubleType()}
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -32,3 +34,8 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or new_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def travels_with_tasks(module: str) -> None:
+    """Send what tasks use of a module along with them, so that executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -106,3 +106,19 @@ def test_shared_folder_comes_from_the_session(spark):
     with pytest.raises(ValueError, match=SETTING):
         shared_folder(Session(None))
     assert shared_folder(spark)
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from pairloom.operators import bpe, vectors
+    from pairloom.sources.sqlite import SqliteReader, SqliteSource
+
+    sent = tmp_path / "sent"
+    sent.write_bytes(cloudpickle.dumps([bpe.split_word, vectors.softmax_average, SqliteReader, SqliteSource]))
+    code = "from pyspark import cloudpickle; f = cloudpickle.load(open('sent', 'rb'))[0]; print(f(['a', 'b'], {('a', 'b'): 0}))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "['ab']", done.stderr
