@@ -17,7 +17,8 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # travels with the tasks that use it
 
-PIECE = 1 << 21
+#: Small enough for a processor's cache.
+PIECE = 1 << 17
 #: Fixed odd multipliers; any odd numbers would do.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

@@ -37,7 +37,7 @@ travels_with_tasks(__name__)
 
 LENGTH = 100
 SEED = 32
-BLOCKS = 4
+BLOCKS = 3
 #: Text bytes per bucket task and block; a bucket task holds some 3.3 times as many bytes of runs.
 BUCKET_BYTES = 6 << 20
 #: A perfect difference set: every residue modulo 31 is the difference of two members.
@@ -83,7 +83,7 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.
     _, down = packed.powers(len(sums))
     with np.errstate(over="ignore"):
         seeds = packed.mix((sums[SEED:] - sums[:-SEED]) * down[: len(at)])
-    bits = np.uint64(23)
+    bits = np.uint64(20)
     least = (seeds >> bits << bits) | at.astype(np.uint64)
     width = LENGTH - SEED + 1
     done = 1
@@ -92,17 +92,19 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.
         least = np.minimum(least[:-step], least[step:])
         done += step
     seed_at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(seed_at)]
-    valid = np.arange(len(seed_at)) + LENGTH <= bounds[row + 1]
-    starts = np.flatnonzero(valid)
-    if not len(starts):
-        return empty
-    seed_at, row = seed_at[starts], row[starts]
-    new = np.ones(len(starts), dtype=bool)
-    new[1:] = (seed_at[1:] != seed_at[:-1]) | (row[1:] != row[:-1])
+    starts = np.zeros(len(seed_at) + 1, dtype=bool)  # no string across documents
+    begins, ends = bounds[:-1], bounds[1:] - LENGTH + 1
+    new = np.ones(len(seed_at) + 1, dtype=bool)
+    new[1:-1] = seed_at[1:] != seed_at[:-1]
+    for begin, end in zip(begins[begins < ends].tolist(), ends[begins < ends].tolist()):
+        starts[begin:end] = True
+        new[begin] = new[end] = True
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(starts)))
-    return row[first], starts[first], size, seed_at[first], seeds[seed_at[first]]
+    size = np.diff(first)
+    first = first[:-1]
+    kept = starts[first]
+    first, size = first[kept], size[kept]
+    return np.searchsorted(bounds, first, side="right") - 1, first, size, seed_at[first], seeds[seed_at[first]]
 
 
 def _scan(batches, block: int, blocks: int, buckets: int):
