@@ -14,7 +14,7 @@ the same document. Strings are judged on the input texts; matches never cross do
 3. *Removal.* Neighbours in suffix order with a common prefix of ``LENGTH`` bytes form groups. All but the earliest member
    are removed. Per document the removed strings are united.
 
-Hot texts: equal runs are combined within each Arrow batch before the shuffle, where all but the earliest are settled.
+Hot texts: equal runs are combined within GROUP_BYTES of text before the shuffle, where all but the earliest are settled.
 Defined cases: null and empty texts and texts under ``LENGTH`` bytes lose nothing; the digest is then that of the whole
 text (null: of no bytes). Rows with the same doc_id are taken as one document's versions and are each returned; among them
 only the text decides, so copies under one doc_id do not remove each other. Rows without a doc_id are returned whole and not
@@ -40,6 +40,8 @@ SEED = 32
 BLOCKS = 3
 #: Text bytes per bucket task and block; a bucket task holds some 3.3 times as many bytes of runs.
 BUCKET_BYTES = 6 << 20
+#: Text bytes within which equal runs are combined before the shuffle.
+GROUP_BYTES = 8 << 20
 #: A perfect difference set: every residue modulo 31 is the difference of two members.
 CYCLE = 31
 COVER = (1, 5, 11, 24, 25, 27)
@@ -108,50 +110,64 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.
 
 
 def _scan(batches, block: int, blocks: int, buckets: int):
-    """Runs of the block's buckets; runs that repeat within the batch are settled here and travel as removed spans."""
+    """Runs of the block's buckets; runs that repeat within a group are settled here and travel as removed spans."""
     schema = pa.schema([("bucket", pa.int32()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("lead", pa.int32()), ("runs", pa.int32()), ("bytes", pa.binary())])
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        found = []
-        for first, data, bounds, shift in _parts(batch):
-            sums = packed.prefix_sums(data)
-            row, start, size, seed_at, seed = runs_of(data, bounds, sums)
-            mine = np.flatnonzero(seed % np.uint64(blocks) == np.uint64(block))
-            row, start, size, seed_at, seed = (x[mine] for x in (row, start, size, seed_at, seed))
-            whole = packed.span_hashes(sums, start, start + size + LENGTH - 1)
-            with np.errstate(over="ignore"):
-                whole = packed.mix(whole + (seed_at - start).astype(np.uint64) * packed.BASE)
-            text = data[packed.ranges(start, size + LENGTH - 1)]
-            found.append((ids[first + row], start - bounds[row] + shift, size, seed_at - start, seed, whole, text))
-        if not found:
-            continue
-        doc, start, size, lead, seed, whole, text = (np.concatenate(x) for x in zip(*found))
-        if not len(doc):
-            continue
-        order = np.lexsort((start, doc, whole))
-        doc_, start_, whole_ = doc[order], start[order], whole[order]
-        first = np.flatnonzero(np.append(True, whole_[1:] != whole_[:-1]))
-        first = np.repeat(first, np.diff(np.append(first, len(order))))
-        settled = np.zeros(len(order), dtype=bool)
-        settled[order] = (doc_ != doc_[first]) | (start_ != start_[first])
-        spans = _united(doc[settled], start[settled], start[settled] + size[settled] + LENGTH - 1)
-        kept = np.flatnonzero(~settled)
-        bounds = np.append(0, np.cumsum(size + LENGTH - 1))
-        text = text[packed.ranges(bounds[kept], (size + LENGTH - 1)[kept])]
-        doc, start, size, lead, seed = (x[kept] for x in (doc, start, size, lead, seed))
-        bucket = (seed // np.uint64(blocks) % np.uint64(buckets)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket), pa.array(seed.view(np.int64)), pa.array(doc), pa.array(start), pa.array(lead.astype(np.int32)), pa.array(size.astype(np.int32)), packed.binary_array(text, size + LENGTH - 1)],
-            schema=schema,
-        )
-        if len(spans[0]):
-            n = len(spans[0])
-            none = pa.nulls(n, pa.int32())
-            where = pa.array((packed.mix(spans[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32))
+        for group in _groups(_parts(batch)):
+            found = [_found(ids, block, blocks, *part) for part in group]
+            doc, start, size, lead, seed, whole, text = (np.concatenate(x) for x in zip(*found))
+            if not len(doc):
+                continue
+            order = np.lexsort((start, doc, whole))
+            doc_, start_, whole_ = doc[order], start[order], whole[order]
+            first = np.flatnonzero(np.append(True, whole_[1:] != whole_[:-1]))
+            first = np.repeat(first, np.diff(np.append(first, len(order))))
+            settled = np.zeros(len(order), dtype=bool)
+            settled[order] = (doc_ != doc_[first]) | (start_ != start_[first])
+            spans = _united(doc[settled], start[settled], start[settled] + size[settled] + LENGTH - 1)
+            if settled.any():
+                text = text[np.repeat(~settled, size + LENGTH - 1)]
+                doc, start, size, lead, seed = (x[~settled] for x in (doc, start, size, lead, seed))
+            bucket = (seed // np.uint64(blocks) % np.uint64(buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [where, pa.nulls(n, pa.int64()), pa.array(spans[0]), pa.array(spans[1]), none, pa.array((spans[2] - spans[1]).astype(np.int32)), pa.nulls(n, pa.binary())],
+                [pa.array(bucket), pa.array(seed.view(np.int64)), pa.array(doc), pa.array(start), pa.array(lead.astype(np.int32)), pa.array(size.astype(np.int32)), packed.binary_array(text, size + LENGTH - 1)],
                 schema=schema,
             )
+            if len(spans[0]):
+                n = len(spans[0])
+                none = pa.nulls(n, pa.int32())
+                where = pa.array((packed.mix(spans[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [where, pa.nulls(n, pa.int64()), pa.array(spans[0]), pa.array(spans[1]), none, pa.array((spans[2] - spans[1]).astype(np.int32)), pa.nulls(n, pa.binary())],
+                    schema=schema,
+                )
+
+
+def _groups(parts):
+    """Parts in groups of about GROUP_BYTES, the unit in which runs are combined."""
+    group, size = [], 0
+    for part in parts:
+        group.append(part)
+        size += len(part[1])
+        if size >= GROUP_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _found(ids, block, blocks, first, data, bounds, shift):
+    """The block's runs in one part: document, start, number of starts, offset of the seed, seed, hash and bytes."""
+    sums = packed.prefix_sums(data)
+    row, start, size, seed_at, seed = runs_of(data, bounds, sums)
+    mine = np.flatnonzero(seed % np.uint64(blocks) == np.uint64(block))
+    row, start, size, seed_at, seed = (x[mine] for x in (row, start, size, seed_at, seed))
+    whole = packed.span_hashes(sums, start, start + size + LENGTH - 1)
+    with np.errstate(over="ignore"):
+        whole = packed.mix(whole + (seed_at - start).astype(np.uint64) * packed.BASE)
+    text = data[packed.ranges(start, size + LENGTH - 1)]
+    return ids[first + row], start - bounds[row] + shift, size, seed_at - start, seed, whole, text
 
 
 def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,18 +247,31 @@ def suffix_order(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> np
         group[todo] = todo[np.flatnonzero(new)][np.cumsum(new) - 1]  # a part is named by its first place
 
 
-def repeated_spans(seed: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple:
+def repeated_spans(seed: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, lead: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple:
     """Spans removed in one bucket: of every group of equal strings, all but the one that starts first."""
-    none = (np.zeros(0, np.int64),) * 3
-    names, number = np.unique(seed, return_inverse=True)
-    often = np.bincount(number, minlength=len(names))[number] > 1
-    kept = np.flatnonzero(often)
+    settled = (np.zeros(0, np.int64),) * 3
+    kept = _repeated(seed)
     if not len(kept):
-        return none
+        return settled
     kept = kept[np.lexsort((start[kept], doc[kept]))]  # places then follow the order of the corpus
     length = np.diff(bounds)[kept]
     data = data[packed.ranges(bounds[:-1][kept], length)]
-    doc, start, size = doc[kept], start[kept], size[kept]
+    doc, start, size, lead, seed = (x[kept] for x in (doc, start, size, lead, seed))
+    bounds = np.append(0, np.cumsum(length))
+
+    whole = packed.span_hashes(packed.prefix_sums(data), bounds[:-1], bounds[1:])  # equal runs count once in the sort
+    with np.errstate(over="ignore"):
+        whole = packed.mix(whole + lead.astype(np.uint64) * packed.BASE)
+    _, first, number = np.unique(whole, return_index=True, return_inverse=True)
+    first = first[number]
+    gone = (doc != doc[first]) | (start != start[first])
+    settled = (doc[gone], start[gone], start[gone] + length[gone])
+    alone = np.flatnonzero(first == np.arange(len(first)))
+    kept = alone[_repeated(seed[alone])]
+    if not len(kept):
+        return settled
+    data = data[packed.ranges(bounds[:-1][kept], length[kept])]
+    doc, start, size, length = doc[kept], start[kept], size[kept], length[kept]
     bounds = np.append(0, np.cumsum(length))
     places = packed.ranges(bounds[:-1], size)
     at = suffix_order(data, bounds, places)
@@ -258,12 +287,16 @@ def repeated_spans(seed: np.ndarray, doc: np.ndarray, start: np.ndarray, size: n
     earliest = np.repeat(np.minimum.reduceat(at, first), np.diff(np.append(first, len(at))))
     run_of = np.repeat(np.arange(len(bounds) - 1), length)
     gone = at[(at != earliest) & ~_same_document(doc, run_of, at, earliest, start, bounds)]
-    if not len(gone):
-        return none
     gone.sort()
     run = run_of[gone]
     begin = start[run] + gone - bounds[run]
-    return _united(doc[run], begin, begin + LENGTH)
+    return tuple(np.concatenate(x) for x in zip(settled, (doc[run], begin, begin + LENGTH)))
+
+
+def _repeated(seed: np.ndarray) -> np.ndarray:
+    """Places of the seeds that occur more than once."""
+    _, number, count = np.unique(seed, return_inverse=True, return_counts=True)
+    return np.flatnonzero(count[number] > 1)
 
 
 def _same_document(doc, run_of, at, earliest, start, bounds) -> np.ndarray:
@@ -281,7 +314,7 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     spans = [(column(passing, "doc_id"), column(passing, "start"), column(passing, "start") + column(passing, "runs"))]
     if runs.num_rows:
         data, bounds = packed.binary_bounds(runs.column("bytes"))
-        spans.append(repeated_spans(column(runs, "seed"), column(runs, "doc_id"), column(runs, "start"), column(runs, "runs").astype(np.int64), data, bounds))
+        spans.append(repeated_spans(column(runs, "seed"), column(runs, "doc_id"), column(runs, "start"), column(runs, "runs").astype(np.int64), column(runs, "lead").astype(np.int64), data, bounds))
     doc, start, end = _united(*(np.concatenate(x).astype(np.int64) for x in zip(*spans)))
     return pa.table({"doc_id": pa.array(doc), "start": pa.array(start), "end": pa.array(end)})
 
