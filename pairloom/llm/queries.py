@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import jobs, suffix_dedup
+from pairloom.llm import contiguous_shards, decontaminate, jaccard_join, jobs, repetition, secret_links, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,3 +21,30 @@ def query(function: Query) -> Query:
 @query
 def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.deduplicated(jobs.documents(spark, sf)).drop("kept")
+
+
+@query
+def op6_repetition_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.judged(jobs.documents(spark, sf))
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.linked(jobs.documents(spark, sf), width=3, percent=90)
+
+
+@query
+def op10_secret_links(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_links.scanned(jobs.documents(spark, sf))
+
+
+@query
+def op4_contiguous_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return contiguous_shards.sharded(jobs.documents(spark, sf))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Contaminated documents only, with the items found in them."""
+    found = decontaminate.contaminated(jobs.documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return found.select("doc_id", "n_hits", "items")
