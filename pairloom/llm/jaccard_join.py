@@ -34,8 +34,11 @@ from pairloom.workspace import travels_with_tasks
 travels_with_tasks(__name__)
 
 BLOCK = 1000
-#: Shingles per bucket task, and shingles per search task.
-BUCKET_ROWS = 4_000_000
+#: Text bytes whose shingles are packed together; shingles per bucket task, and shingles per search task.
+GROUP_BYTES = 6 << 20
+BUCKET_ROWS = 3_000_000
+#: Buckets are 2 ** LEAST_BITS at least, so that small inputs are spread as well.
+LEAST_BITS = 6
 TASK_ROWS = 1_000_000
 #: Weight of a probe in DivideSkip's choice of the number of long lists, L = T / (WEIGHT * log2(longest) + 1).
 WEIGHT = 0.0085
@@ -85,36 +88,40 @@ def _profiles(batches, width: int):
 
 
 def _shares(batches, width: int, bits: int):
-    """The shingles of a batch by bucket: sorted 32-bit remainders of their hashes, and whose they are."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1 << 16):
-            batch = whole.slice(at, 1 << 16)
-            rows, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for piece in packed.pieces(batch):
-                row, value = shingle_sets(piece, width)
-                rows.append(row + piece.first)
-                values.append(value)
+    """The shingles of some documents by bucket: sorted 32-bit remainders of their hashes, and whose they are."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        first, size, rows, values = 0, 0, [], []
+        for piece in packed.pieces(batch):
+            row, value = shingle_sets(piece, width)
+            rows.append(row + (piece.first - first))
+            values.append(value)
+            size += len(piece.data)
+            if size < GROUP_BYTES and piece.last < batch.num_rows and piece.last - first < 1 << 15:
+                continue
             row, value = np.concatenate(rows), np.concatenate(values)
+            mine = ids[first : piece.last]
+            first, size, rows, values = piece.last, 0, [], []
             order = np.argsort(value, kind="stable")
-            row, value = row[order].astype(np.uint16), value[order]
-            bounds = np.searchsorted(value >> np.uint64(64 - bits) if bits else value * 0, np.arange((1 << bits) + 1, dtype=np.uint64))
+            row, value = row[order], value[order]
+            bounds = np.searchsorted(value >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             rest = ((value >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             used = np.flatnonzero(np.diff(bounds))
             if not len(used):
                 continue
             docs, owners = [], []
             for k in used:
-                mine, local = np.unique(row[bounds[k] : bounds[k + 1]], return_inverse=True)
-                docs.append(ids[mine])
-                owners.append(local.astype(np.uint16))
-            size = np.diff(bounds)[used]
+                holds = np.zeros(len(mine), dtype=bool)
+                holds[row[bounds[k] : bounds[k + 1]]] = True
+                docs.append(mine[holds])
+                owners.append((np.cumsum(holds) - 1)[row[bounds[k] : bounds[k + 1]]].astype(np.uint32))
+            size_of = np.diff(bounds)[used]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(used.astype(np.int32)),
                     packed.list_array(np.concatenate(docs), np.array([len(d) for d in docs])),
-                    packed.binary_array(rest.view(np.uint8), size * 4),
-                    packed.binary_array(np.concatenate(owners).view(np.uint8), size * 2),
+                    packed.binary_array(rest.view(np.uint8), size_of * 4),
+                    packed.binary_array(np.concatenate(owners).astype(np.uint16).view(np.uint8), size_of * 2),
                 ],
                 names=["bucket", "docs", "hashes", "owners"],
             )
@@ -245,7 +252,7 @@ def linked(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     first = some.groupBy(*same).agg(F.min("doc_id").alias("first"))
     total = some.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
 
-    bits = max(0, math.ceil(math.log2(max(1, total / BUCKET_ROWS))))
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, total / BUCKET_ROWS))))
     known = texts.where("doc_id IS NOT NULL")
     shares = known.mapInArrow(lambda batches: _shares(batches, width, bits), SHARES)
     shared = shares.groupBy("bucket").applyInArrow(_shared, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
