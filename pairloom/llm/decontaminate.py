@@ -95,6 +95,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, all columns kept."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("found_id"), F.col("mark").alias("found_mark"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("found_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("found_mark"))
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found_id"), F.col("mark").alias("_found_mark"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_found_mark"))
     return docs.join(found, same, "left_anti")

@@ -74,6 +74,20 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(start, dtype=np.int64) - (ends - size), size) + np.arange(total, dtype=np.int64)
 
 
+def united(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching spans of a key in one, ordered by key and start; positions are below 2^40."""
+    if not len(key):
+        return key, start, end
+    order = np.lexsort((start, key))
+    key, start, end = key[order], start[order], end[order]
+    shift = np.cumsum(np.append(False, key[1:] != key[:-1])) * (1 << 40)
+    reach = np.maximum.accumulate(end + shift) - shift
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (start[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return key[first], start[first], reach[np.append(first[1:], len(key)) - 1]
+
+
 @dataclass
 class Piece:
     """Rows [first, last) of a batch: their bytes, and len(rows) + 1 bounds within them."""

@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import contiguous_shards, decontaminate, jaccard_join, jobs, repetition, secret_links, suffix_dedup
+from pairloom.llm import (
+    compact_windows,
+    contiguous_shards,
+    decontaminate,
+    jaccard_join,
+    jobs,
+    language_id,
+    repetition,
+    secret_links,
+    soft_mixing,
+    suffix_dedup,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +60,31 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     """Contaminated documents only, with the items found in them."""
     found = decontaminate.contaminated(jobs.documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
     return found.select("doc_id", "n_hits", "items")
+
+
+@query
+def op1_compact_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return compact_windows.passages(jobs.documents(spark, sf))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    found = language_id.identified(language_id.of_documents(jobs.documents(spark, sf)))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def language_id_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same operator over web pages, with the language their markup declares and their addresses."""
+    found = language_id.identified(language_id.of_pages(spark.read.parquet(f"{sf}/pages.parquet")))
+    return found.withColumnRenamed("id", "page_id")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.scored(jobs.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query
+def op8_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return soft_mixing.rated(jobs.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))

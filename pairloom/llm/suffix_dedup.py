@@ -125,7 +125,7 @@ def _scan(batches, block: int, blocks: int, buckets: int):
             first = np.repeat(first, np.diff(np.append(first, len(order))))
             settled = np.zeros(len(order), dtype=bool)
             settled[order] = (doc_ != doc_[first]) | (start_ != start_[first])
-            spans = _united(doc[settled], start[settled], start[settled] + size[settled] + LENGTH - 1)
+            spans = packed.united(doc[settled], start[settled], start[settled] + size[settled] + LENGTH - 1)
             if settled.any():
                 text = text[np.repeat(~settled, size + LENGTH - 1)]
                 doc, start, size, lead, seed = (x[~settled] for x in (doc, start, size, lead, seed))
@@ -170,20 +170,6 @@ def _found(ids, block, blocks, first, data, bounds, shift):
     return ids[first + row], start - bounds[row] + shift, size, seed_at - start, seed, whole, text
 
 
-def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping and touching spans of a document in one."""
-    if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    group = np.cumsum(np.append(False, doc[1:] != doc[:-1]))
-    reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])
-    first = np.flatnonzero(new)
-    return doc[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
-
-
 def _dense(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by the keys, most significant first, and the dense rank of every element in it."""
     order = np.lexsort(keys[::-1])
@@ -315,7 +301,7 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     if runs.num_rows:
         data, bounds = packed.binary_bounds(runs.column("bytes"))
         spans.append(repeated_spans(column(runs, "seed"), column(runs, "doc_id"), column(runs, "start"), column(runs, "runs").astype(np.int64), column(runs, "lead").astype(np.int64), data, bounds))
-    doc, start, end = _united(*(np.concatenate(x).astype(np.int64) for x in zip(*spans)))
+    doc, start, end = packed.united(*(np.concatenate(x).astype(np.int64) for x in zip(*spans)))
     return pa.table({"doc_id": pa.array(doc), "start": pa.array(start), "end": pa.array(end)})
 
 
@@ -337,7 +323,7 @@ def _cut(batches):
         flat = pa.compute.list_flatten(spans)
         size = pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
         start, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        row, start, end = _united(np.repeat(np.arange(len(size)), size), start, end)
+        row, start, end = packed.united(np.repeat(np.arange(len(size)), size), start, end)
         at = np.searchsorted(row, np.arange(len(size) + 1))
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
         for piece in packed.pieces(batch):
