@@ -17,7 +17,8 @@ from pairloom.plans.session import local_session  # noqa: E402
 
 HEADLINE = (
     "steps_per_epoch split_exact vocab_words encode_ids teacher_forcing decode_text corpus_chunks train_batches "
-    "batch_export masked_loss early_stop ngram_model align_em embed_tokens attend_cross decode_greedy"
+    "batch_export masked_loss early_stop ngram_model align_em embed_tokens attend_cross decode_greedy "
+    "bpe_merges next_token_dist model_validation"
 ).split()
 
 

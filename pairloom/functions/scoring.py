@@ -14,11 +14,14 @@ def argmax(logits: Column) -> Column:
 
 
 def cross_entropy(label: Column, logits: Column) -> Column:
-    """``logsumexp(logits) - logits[label]``, shifted by the largest logit."""
+    """``logsumexp(logits) - logits[label]``, shifted by the largest logit. A label without a logit is an error."""
     z = logits.cast("array<double>")
     top = F.array_max(z)
     total = F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return top + F.ln(total) - F.get(z, label)
+    outside = (label < 0) | (label >= F.size(z))
+    message = F.concat(F.lit("label "), label.cast("string"), F.lit(" has no logit"))
+    own = F.when(outside, F.raise_error(message).cast("double")).otherwise(F.get(z, label))
+    return top + F.ln(total) - own
 
 
 def scheduled_rate(step: Column, width: int = MODEL_WIDTH, warmup: int = WARMUP_STEPS) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.sequences import truncate
-from pairloom.settings import MASK, SENTINELS, SENTINELS_START
+from pairloom.operators.encode import decode_text
+from pairloom.settings import MASK, SENTINELS, SENTINELS_START, VOCABULARY_BOUND
 from pairloom.workspace import stage, travels_with_tasks
 
 travels_with_tasks(__name__)
@@ -120,44 +124,43 @@ def split_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[st
     return symbols
 
 
+def _to_subwords(batches, shared, key: str, most: int):
+    ranks, ids = shared.value
+    for batch in batches:
+        column = batch.column("words")
+        words = pc.list_flatten(column).dictionary_encode()
+        split = [[ids[s] for s in split_word([f"{b:02x}" for b in word.encode()], ranks)] for word in words.dictionary.to_pylist()]
+        pieces = pa.array(split, pa.list_(pa.int32())).take(words.indices)
+        after = np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False)))
+        bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))
+        start, size = after[bounds[:-1]], np.minimum(np.diff(after[bounds]), most)
+        ends = np.cumsum(size)
+        kept = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pc.list_flatten(pieces).take(pa.array(kept, pa.int64())))
+        yield pa.RecordBatch.from_pydict({key: batch.column(key), "ids": lists})
+
+
 def encode_subwords(texts: DataFrame, merges: DataFrame, column: str, key: str, limit: int) -> DataFrame:
     """``(key, ids)`` by learned merges, at most ``limit - 2`` ids per text.
 
-    No shuffle: the merges, a bounded table, go to all tasks, and each Arrow batch splits its distinct words once.
-    A text has at least as many ids as words, so cutting to ``limit - 2`` words first loses nothing.
+    No shuffle: the merges, a table of a checked size, go to all tasks; an Arrow batch splits its distinct words once and
+    looks all others up by their place in the batch's dictionary. A text has at least as many ids as words, so cutting
+    to ``limit - 2`` words first loses nothing.
     """
     spark = texts.sparkSession
-    ranks = {(m["left"], m["right"]): m["place"] for m in merges.collect()}  # bounded by the vocabulary size
+    learned = merges.limit(VOCABULARY_BOUND + 1).collect()
+    if len(learned) > VOCABULARY_BOUND:
+        raise ValueError(f"at most {VOCABULARY_BOUND} merges")
+    ranks = {(m["left"], m["right"]): m["place"] for m in learned}
     ids = {v["token"]: v["id"] for v in subword_vocabulary(spark, merges).collect()}
     shared = spark.sparkContext.broadcast((ranks, ids))
-
-    def split(batches):
-        import pandas as pd
-
-        ranks, ids = shared.value
-        for batch in batches:
-            found: dict[str, list[int]] = {}
-            out = []
-            for words in batch["words"]:
-                row: list[int] = []
-                for word in words:
-                    if word not in found:
-                        found[word] = [ids[s] for s in split_word([f"{b:02x}" for b in word.encode()], ranks)]
-                    row.extend(found[word])
-                    if len(row) >= limit - 2:
-                        break
-                out.append(row[: limit - 2])
-            yield pd.DataFrame({key: batch[key], "ids": out})
-
     kind = texts.schema[key].dataType.simpleString()
-    words = texts.select(key, truncate(subword_tokens(F.col(column)), limit).alias("words"))
-    return words.mapInPandas(split, f"`{key}` {kind}, ids array<int>")
+    words = F.coalesce(truncate(subword_tokens(F.col(column)), limit), F.array().cast("array<string>"))
+    cut = texts.select(key, words.alias("words"))
+    return cut.mapInArrow(lambda batches: _to_subwords(batches, shared, key, limit - 2), f"`{key}` {kind}, ids array<int>")
 
 
 def decode_subwords(rows: DataFrame, merges: DataFrame, key: str, ids: str) -> DataFrame:
-    """Ids back to text: the bytes of all pieces, joined."""
-    vocabulary = F.broadcast(subword_vocabulary(rows.sparkSession, merges))
-    long = rows.select(key, F.posexplode_outer(ids).alias("pos", "id")).join(vocabulary, "id", "left")
-    hit = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
-    pieces = F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["token"])
-    return long.groupBy(key).agg(as_text(F.array_join(pieces, "")).alias("text"))
+    """Ids back to text: the bytes of all pieces, joined. Narrow, like ``decode_text``."""
+    joined = decode_text(rows, subword_vocabulary(rows.sparkSession, merges), key, ids, "")
+    return joined.withColumn("text", as_text(F.col("text")))

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import sequences as S
 from pairloom.functions.text import words
-from pairloom.settings import MASK, SENTINELS, SENTINELS_START, SEQUENCE_LENGTH, UNK
+from pairloom.settings import MASK, SENTINELS, SENTINELS_START, SEQUENCE_LENGTH, UNK, VOCABULARY_BOUND
+from pairloom.workspace import travels_with_tasks
 
+travels_with_tasks(__name__)
 
-def _ordered(hit: Column) -> Column:
-    """Array of the collected (pos, value) structs in position order, values only."""
-    return F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["value"])
+
+def _entries(vocabulary: DataFrame) -> pa.Table:
+    """Tokens and ids, one table of a checked size for every task."""
+    found = vocabulary.select("token", F.col("id").cast("int").alias("id")).limit(VOCABULARY_BOUND + 1).toArrow()
+    if found.num_rows > VOCABULARY_BOUND:
+        raise ValueError(f"a vocabulary may have {VOCABULARY_BOUND} entries at most")
+    return found
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Flat values of a list column and the bounds of its lists from 0."""
+    size = pc.fill_null(pc.list_value_length(column), 0)
+    return pc.list_flatten(column), pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(size).cast(pa.int32())])
+
+
+def _to_ids(batches, shared, columns: list[str], unknown: int):
+    tokens, ids = shared.value.column("token").combine_chunks(), shared.value.column("id").combine_chunks()
+    for batch in batches:
+        out = {name: batch.column(name) for name in batch.schema.names}
+        for name in columns:
+            values, bounds = _lists(batch.column(name))
+            found = pc.fill_null(pc.take(ids, pc.index_in(values, value_set=tokens)), unknown)
+            out[name] = pa.ListArray.from_arrays(bounds, found)
+        yield pa.RecordBatch.from_pydict(out)
 
 
 def encode_ids(
@@ -24,24 +49,16 @@ def encode_ids(
 ) -> DataFrame:
     """Replace each text column by its token ids, at most ``columns[name] - 2`` of them.
 
-    Tokens beyond the limit are cut before they are exploded. All columns go through one explode, one broadcast join
-    with the vocabulary and one regrouping; a task holds all tokens of its texts, so the regrouping is already done
-    before the shuffle and moves one row per text. Texts without tokens keep an empty array.
+    A narrow step: texts become cut token arrays in the JVM, and each Arrow batch looks all its tokens up in the
+    vocabulary at once, which goes to the tasks as one table of a checked size. Rows stay apart whatever their keys.
+    Texts without tokens keep an empty array.
     """
-    sides = [
-        F.struct(F.lit(i).alias("side"), S.truncate(words(F.col(name)), limit).alias("tokens"))
-        for i, (name, limit) in enumerate(columns.items())
-    ]
-    long = texts.select(key, *keep, F.explode(F.array(*sides)).alias("text")).select(
-        key, *keep, F.col("text.side").alias("side"), F.posexplode_outer("text.tokens").alias("pos", "token")
-    )
-    found = long.join(F.broadcast(vocabulary.select("token", "id")), "token", "left")
-    value = F.struct(F.col("pos"), F.coalesce(F.col("id"), F.lit(UNK)).alias("value"))
-    collected = [
-        _ordered(F.when((F.col("side") == i) & F.col("pos").isNotNull(), value)).alias(name)
-        for i, name in enumerate(columns)
-    ]
-    return found.groupBy(key).agg(*[F.any_value(c).alias(c) for c in keep], *collected)
+    shared = texts.sparkSession.sparkContext.broadcast(_entries(vocabulary))
+    cut = [F.coalesce(S.truncate(words(F.col(c)), limit), F.array().cast("array<string>")).alias(c) for c, limit in columns.items()]
+    tokens = texts.select(key, *keep, *cut)
+    kinds = [f"`{f.name}` {'array<int>' if f.name in columns else f.dataType.simpleString()}" for f in tokens.schema]
+    names = list(columns)
+    return tokens.mapInArrow(lambda batches: _to_ids(batches, shared, names, UNK), ", ".join(kinds))
 
 
 def teacher_forced(ids: DataFrame, source_length: int = SEQUENCE_LENGTH, target_length: int = SEQUENCE_LENGTH) -> DataFrame:
@@ -67,10 +84,26 @@ def encode_pairs(
     return teacher_forced(ids, source_length, target_length)
 
 
+def _to_text(batches, shared, key: str, separator: str):
+    size = max([0, *shared.value.column("id").to_pylist()]) + 1
+    by_id: list[str | None] = [None] * size
+    for token, number in zip(shared.value.column("token").to_pylist(), shared.value.column("id").to_pylist()):
+        by_id[number] = token
+    tokens = pa.array(by_id, pa.string())
+    for batch in batches:
+        values, bounds = _lists(batch.column("ids"))
+        inside = pc.and_(pc.greater_equal(values, 0), pc.less(values, size))
+        found = pc.take(tokens, pc.if_else(inside, values, pa.scalar(None, values.type)))
+        known = pc.is_valid(found)
+        upto = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(known.cast(pa.int32()))])
+        lists = pa.ListArray.from_arrays(pc.take(upto, bounds), pc.drop_null(found))
+        yield pa.RecordBatch.from_pydict({key: batch.column(key), "text": pc.binary_join(lists, separator)})
+
+
 def decode_text(rows: DataFrame, vocabulary: DataFrame, key: str, ids: str, separator: str = " ") -> DataFrame:
-    """Ids back to text without reserved tokens; words are joined with ``separator``."""
-    long = rows.select(key, F.posexplode_outer(ids).alias("pos", "id"))
+    """Ids back to text without reserved tokens; words are joined with ``separator``. Narrow, like ``encode_ids``."""
     reserved = (F.col("id") <= MASK) | F.col("id").between(SENTINELS_START, SENTINELS_START + SENTINELS - 1)
-    found = long.join(F.broadcast(vocabulary.select("id", "token")), "id", "left")
-    hit = F.when(~reserved & F.col("token").isNotNull(), F.struct("pos", F.col("token").alias("value")))
-    return found.groupBy(key).agg(F.array_join(_ordered(hit), separator).alias("text"))
+    shared = rows.sparkSession.sparkContext.broadcast(_entries(vocabulary.filter(~reserved)))
+    kind = rows.schema[key].dataType.simpleString()
+    wanted = rows.select(key, F.coalesce(ids, F.array()).cast("array<int>").alias("ids"))
+    return wanted.mapInArrow(lambda batches: _to_text(batches, shared, key, separator), f"`{key}` {kind}, text string")

@@ -50,17 +50,17 @@ def best_epochs(history: DataFrame, patience: int = PATIENCE) -> DataFrame:
     return kept.select("run_id", "epoch", "val_loss")
 
 
-def loss_series(history: DataFrame) -> DataFrame:
-    """The two loss curves as (run_id, epoch, series, value)."""
-    curves = history.select(
+def loss_series(history: DataFrame, patience: int = PATIENCE) -> DataFrame:
+    """The two loss curves up to the early stop as (run_id, epoch, series, value)."""
+    curves = until_stop(history, patience).select(
         "run_id", "epoch", F.col("loss").alias("Training Loss"), F.col("val_loss").alias("Validation Loss")
     )
     return curves.unpivot(["run_id", "epoch"], ["Training Loss", "Validation Loss"], "series", "value")
 
 
-def performance_tier(history: DataFrame) -> DataFrame:
-    """How good the last validation loss of each run is."""
-    last = history.groupBy("run_id").agg(F.max_by("val_loss", "epoch").alias("val_loss"))
+def performance_tier(history: DataFrame, patience: int = PATIENCE) -> DataFrame:
+    """How good the validation loss of the last epoch is that each run came to."""
+    last = until_stop(history, patience).groupBy("run_id").agg(F.max_by("val_loss", "epoch").alias("val_loss"))
     tier = F.when(F.col("val_loss") < TIER_GOOD, "excellent").when(F.col("val_loss") < TIER_FAIR, "good")
     return last.withColumn("tier", tier.otherwise("needs training"))
 

@@ -53,15 +53,43 @@ def rank_by_hash(rows: DataFrame, key: str, tie: str, groups: list[str] = [], gr
     return _with_ranks(rows.withColumn("bucket", F.substring(key, 1, digits)), [key, tie], groups)
 
 
-def quantile_bounds(rows: DataFrame, column: str, rows_per_bucket: int = 1_000_000, buckets: int = 1024) -> list[int]:
-    """Values that cut ``column`` into ranges of about equal row counts. One aggregation; only the cuts reach the driver."""
-    cuts = [i / buckets for i in range(1, buckets)]
-    found = rows.agg(F.count(column).alias("n"), F.percentile_approx(column, cuts, 10000).alias("cuts")).first()
-    if not found["n"]:
+def quantile_bounds(rows: DataFrame, column: str, rows_per_bucket: int = 1_000_000, cells: int = 8192) -> list[int]:
+    """Values that cut the whole numbers of ``column`` into ranges of about ``rows_per_bucket`` rows (8 ranges at least).
+
+    Rows are counted in cells of equal width, combined within each task, and cells that hold too many are counted again
+    in finer ones. At most ``cells`` counts of a pass reach the driver.
+    """
+    ends = rows.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
+    if not ends["n"]:
         return []
-    needed = min(buckets, max(8, math.ceil(found["n"] / rows_per_bucket)))
-    picked = [found["cuts"][round(i * buckets / needed) - 1] for i in range(1, needed)]
-    return sorted(set(picked))
+    target = max(1, min(rows_per_bucket, ends["n"] // 8))
+    todo, sizes = [(ends["low"], ends["high"])], []
+    while todo:
+        share = max(2, cells // len(todo))
+        cell = F.lit(None).cast("bigint")
+        for low, high in todo:
+            width = (high - low) // share + 1
+            own = F.expr(f"{low}L + ((`{column}` - {low}L) div {width}L) * {width}L")
+            cell = F.when(F.col(column).between(low, high), own).otherwise(cell)
+        counted = rows.groupBy(cell.alias("cell")).count().filter(F.col("cell").isNotNull()).collect()
+        again = []
+        for low, high in todo:
+            width = (high - low) // share + 1
+            for row in counted:
+                if low <= row["cell"] <= high:
+                    end = min(high, row["cell"] + width - 1)
+                    if row["count"] > target and row["cell"] < end and len(again) < cells // 8:
+                        again.append((row["cell"], end))
+                    else:
+                        sizes.append((row["cell"], row["count"]))
+        todo = again
+    bounds, held = [], 0
+    for start, count in sorted(sizes):
+        if held and held + count > target:
+            bounds.append(start)
+            held = 0
+        held += count
+    return bounds
 
 
 def range_bucket(column: Column, bounds: list[int]) -> Column:

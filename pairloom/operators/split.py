@@ -17,7 +17,12 @@ def split_disabled(pairs: DataFrame) -> DataFrame:
 
 
 def split_fraction(pairs: DataFrame, fraction: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
-    """About ``fraction`` of the rows to ``test``, by a hash of the id: one narrow pass, the same rows on any cluster."""
+    """About ``fraction`` of the rows to ``test``, by a hash of the id: one narrow pass, the same rows on any cluster.
+
+    The hash decides in thousandths, so a finer fraction is an error.
+    """
+    if not 0 <= fraction <= 1 or abs(fraction * 1000 - round(fraction * 1000)) > 1e-9:
+        raise ValueError(f"{fraction} is no whole number of thousandths; split_exact takes any fraction")
     digits = F.substring(hash_key(seed, F.col("pair_id")), 1, 8)
     bucket = F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(1000))
     return pairs.withColumn("split", F.when(bucket < round(fraction * 1000), "test").otherwise("train"))

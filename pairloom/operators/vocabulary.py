@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import words
 from pairloom.operators.ranking import rank_by_id
 from pairloom.settings import CHUNK_ROWS, MARKS, MASK, ROLES, SENTINELS, SENTINELS_START, VOCABULARY_SIZE
+from pairloom.workspace import stage
 
 
 def special_tokens(spark: SparkSession) -> DataFrame:
@@ -35,7 +36,8 @@ def special_tokens(spark: SparkSession) -> DataFrame:
 
 def corpus_chunks(pairs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """Number the training rows in id order and cut them into chunks of ``rows``."""
-    ranked = rank_by_id(pairs.filter(F.col("split") == "train").select("pair_id"), "pair_id")
+    ids = stage(pairs.filter(F.col("split") == "train").select("pair_id"), "chunk_ids")  # texts are read once
+    ranked = rank_by_id(ids, "pair_id")
     return ranked.select("pair_id", F.expr(f"rank div {rows}").alias("chunk_id"))
 
 
@@ -49,8 +51,20 @@ def token_counts(texts: DataFrame, column: str) -> DataFrame:
 
 
 def learn_words(texts: DataFrame, column: str = "code", size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The ``size`` most frequent tokens with ids behind the reserved ones. Never more than ``size`` rows."""
-    kept = token_counts(texts, column).orderBy(F.desc("n"), "token").limit(size)
+    """The ``size`` most frequent tokens with ids behind the reserved ones. Never more than ``size`` rows.
+
+    A histogram of the counts gives the least count that is kept, so only tokens with exactly this count are sorted to
+    choose among.
+    """
+    counts = stage(token_counts(texts, column), "token_counts")
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("tokens"))
+    above = F.coalesce(F.sum("tokens").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    least = sizes.withColumn("above", above).filter(F.col("above") < size).orderBy("n").first()
+    if least is None:
+        kept = counts.limit(0)
+    else:
+        ties = counts.filter(F.col("n") == least["n"]).orderBy("token").limit(size - least["above"])
+        kept = counts.filter(F.col("n") > least["n"]).unionByName(ties)
     place = F.row_number().over(W.orderBy(F.desc("n"), "token")) + MASK
     return kept.select(
         "token", F.when(place < SENTINELS_START, place).otherwise(place + SENTINELS).alias("id"), "n"

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pairloom.functions.text import BLANK
 from pairloom.settings import (
+    ANSWER_LENGTH,
+    COMPARED_LENGTH,
     EPOCHS,
     FIXED_RATE,
     MARKS,
+    MERGES,
     MODEL_WIDTH,
     PATIENCE,
     PROMPT_CHARACTERS,
@@ -16,6 +21,7 @@ from pairloom.settings import (
     SENTINELS,
     SENTINELS_START,
     SEQUENCE_LENGTH,
+    TEMPERATURE,
     TRAIN_BATCH,
     VALIDATION_BATCH,
     VOCABULARY_SIZE,
@@ -164,16 +170,65 @@ sql(
     "used AS (SELECT id, count(*) AS uses FROM (SELECT unnest(input_ids || targ_in) AS id FROM encoded) GROUP BY id)",
 )
 sql("encode_ids", f"SELECT pair_id, {shown('title')}, {shown('code')} FROM ids", *DOC_IDS)
-sql("add_bos_eos", f"SELECT pair_id, {shown('[1] || title || [2]', 'ids')} FROM ids", *DOC_IDS)
-sql("truncate_ids", f"SELECT pair_id, len(code) AS kept, {shown('code', 'ids')} FROM ids", *DOC_VOCAB, ids(PROMPT_LENGTH))
-sql("pad_ids", f"SELECT pair_id, {shown('input_ids', 'ids')} FROM encoded", *DOC_ENCODED)
-sql("pad_mask", f"SELECT pair_id, {shown('[(x <> 0)::INT FOR x IN input_ids]', 'mask')} FROM encoded", *DOC_ENCODED)
+
+
+def both(made) -> str:
+    return f"SELECT pair_id, {', '.join(shown(made(c), c) for c in ('title', 'code'))} FROM ids"
+
+
+sql("add_bos_eos", both(lambda c: f"[1] || {c} || [2]"), *DOC_IDS)
+sql("truncate_ids",
+    f"""SELECT pair_id, len(title) AS title_kept, len(code) AS code_kept, {shown('title')}, {shown('code')},
+        {shown(f'code[1:{PROMPT_LENGTH - 2}]', 'short')} FROM ids""", *DOC_IDS)
+sql("pad_ids", both(framed), *DOC_IDS)
+sql("pad_mask", both(lambda c: f"[(x <> 0)::INT FOR x IN {framed(c)}]"), *DOC_IDS)
 sql("teacher_forcing", f"SELECT pair_id, split, {shown('input_ids')}, {shown('targ_in')}, {shown('targ_out')} FROM encoded",
     *DOC_ENCODED)
 sql("features", f"SELECT pair_id, {shown('input_ids')}, {shown('targ_in')}, {shown('targ_out')} FROM encoded", *DOC_ENCODED)
-sql("cast_format", f"SELECT pair_id, list_sum({framed('title', PROMPT_LENGTH)})::BIGINT AS total FROM ids",
-    *DOC_VOCAB, ids(PROMPT_LENGTH))
-sql("decode_bpe", "SELECT pair_id, code AS text FROM pairs", TURNS)
+sql("cast_format", both(lambda c: framed(c, PROMPT_LENGTH)), *DOC_VOCAB, ids(PROMPT_LENGTH))
+
+# A word is its symbols, each between bars; a merge takes out the bars between two. The chain below learns one merge per
+# step from the words of the training rows and applies it to all words.
+PIECES = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+SUBWORDS = f"""pieces AS (
+    SELECT pair_id, split, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (
+        SELECT pair_id, split, regexp_extract_all(code, '{PIECES}') AS w FROM split)),
+spelt AS (
+    SELECT word, count(*) FILTER (split = 'train') AS n,
+           regexp_replace(lower(hex(encode(word))), '(..)', '|\\1|', 'g') AS symbols FROM pieces GROUP BY word),
+steps AS (
+    SELECT 0 AS place, word, n, symbols, NULL::VARCHAR AS l, NULL::VARCHAR AS r, NULL::HUGEINT AS most FROM spelt
+    UNION ALL
+    SELECT place + 1, word, n, replace(symbols, '|' || best.l || '||' || best.r || '|', '|' || best.l || best.r || '|'),
+           best.l, best.r, best.most
+    FROM steps, (
+        SELECT l, r, sum(n) AS most FROM (
+            SELECT n, unnest(s[:-2]) AS l, unnest(s[2:]) AS r
+            FROM (SELECT n, string_split(trim(symbols, '|'), '||') AS s FROM steps WHERE n > 0) WHERE len(s) > 1)
+        GROUP BY l, r ORDER BY most DESC, l, r LIMIT 1) best
+    WHERE place < {MERGES}),
+merges AS (SELECT DISTINCT place - 1 AS place, l, r, most FROM steps WHERE place > 0),
+symbol_ids AS (
+    SELECT token, CASE WHEN min(place) + 5 < {SENTINELS_START} THEN min(place) + 5 ELSE min(place) + 5 + {SENTINELS} END AS id
+    FROM (SELECT lower(lpad(to_hex(i), 2, '0')) AS token, i AS place FROM range(256) t(i)
+          UNION ALL SELECT l || r, place + 256 FROM merges) GROUP BY token),
+last_step AS (SELECT word, string_split(trim(symbols, '|'), '||') AS s FROM steps WHERE place = (SELECT max(place) FROM steps)),
+word_ids AS (SELECT word, list(id ORDER BY spot) AS ids FROM (
+    SELECT word, unnest(s) AS token, unnest(range(len(s))) AS spot FROM last_step) JOIN symbol_ids USING (token) GROUP BY word),
+subwords AS (SELECT pair_id, flatten(list(ids ORDER BY pos)) AS l FROM pieces JOIN word_ids USING (word) GROUP BY pair_id)"""
+TURN_SUBWORDS = (TURNS, SPLIT, SUBWORDS)
+
+
+def recursive(name: str, select: str, *parts: str) -> None:
+    ORACLES[name] = f"WITH RECURSIVE {', '.join(parts)} {select}"
+
+
+recursive("bpe_merges", 'SELECT place, l AS "left", r AS "right", most::BIGINT AS n FROM merges', *TURN_SUBWORDS)
+recursive("encode_bpe",
+    f"""SELECT pair_id, {shown(framed(f'l[1:{L - 2}]'), 'ids')}
+    FROM (SELECT pair_id, coalesce(l, []::BIGINT[]) AS l FROM split LEFT JOIN subwords USING (pair_id))""", *TURN_SUBWORDS)
+recursive("decode_bpe",
+    "SELECT pair_id, code AS text, coalesce(len(l), 0) AS pieces FROM split LEFT JOIN subwords USING (pair_id)", *TURN_SUBWORDS)
 sql(
     "decode_text",
     """SELECT e.pair_id, coalesce(string_agg(v.token, ' ' ORDER BY pos), '') AS text
@@ -261,12 +316,13 @@ sql("early_stop",
     "SELECT run_id, max(epoch) FILTER (improved) AS best_epoch, any_value(stopped_epoch) AS stopped_epoch FROM ran GROUP BY run_id",
     HISTORY, STOPS)
 sql("loss_series",
-    """SELECT run_id, epoch, 'Training Loss' AS series, loss AS value FROM history UNION ALL
-    SELECT run_id, epoch, 'Validation Loss', val_loss FROM history""", HISTORY)
+    """SELECT run_id, epoch, 'Training Loss' AS series, loss AS value FROM ran UNION ALL
+    SELECT run_id, epoch, 'Validation Loss', val_loss FROM ran""", HISTORY, STOPS)
 sql("performance_tier",
     """SELECT run_id, val_loss, CASE WHEN val_loss < 0.2 THEN 'excellent' WHEN val_loss < 0.5 THEN 'good'
         ELSE 'needs training' END AS tier
-    FROM (SELECT run_id, round(arg_max_null(val_loss, epoch) / 150, 6) AS val_loss FROM history GROUP BY run_id)""", HISTORY)
+    FROM (SELECT run_id || '/' || scale AS run_id, round(arg_max_null(val_loss, epoch) / scale, 6) AS val_loss
+        FROM ran, (VALUES (50), (150), (400)) v(scale) GROUP BY run_id, scale)""", HISTORY, STOPS)
 sql("run_summary",
     f"""SELECT run_id, last_epoch, stopped_epoch, val_loss, val_masked_accuracy, {rate('(last_epoch * steps)')} AS final_rate
     FROM (SELECT run_id, max(epoch) AS last_epoch, any_value(stopped_epoch) AS stopped_epoch,
@@ -382,21 +438,102 @@ sql("prompt_route",
         SELECT turn, text FROM conversations UNION ALL SELECT turn, ':' || text FROM conversations UNION ALL
         SELECT turn, [':s', ':ts', ':q', ':A', ':p', ':ls', ' :s'][turn + 1] FROM conversations)
     WHERE text IS NOT NULL GROUP BY ALL""")
-sql("stream_prompts",
-    f"SELECT i.prompt_id, {ROUTE} AS route, {shown(framed('title', PROMPT_LENGTH), 'ids')} FROM prompt_ids i JOIN prompts USING (prompt_id)",
-    TURNS, SPLIT, VOCAB, PROMPTS,
+PROMPT_IDS = (
+    PROMPTS,
     f"""prompt_tokens AS (SELECT prompt_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (
         SELECT prompt_id, regexp_extract_all(lower({CLEAN}), '{WORD_PATTERN}')[1:{PROMPT_LENGTH - 2}] AS t FROM prompts))""",
     """prompt_ids AS (SELECT p.prompt_id, coalesce(l, []::BIGINT[]) AS title FROM prompts p LEFT JOIN (
         SELECT prompt_id, list(coalesce(id, 3) ORDER BY pos) AS l FROM prompt_tokens LEFT JOIN vocab USING (token)
-        GROUP BY prompt_id) f USING (prompt_id))""")
+        GROUP BY prompt_id) f USING (prompt_id))""",
+)
+sql("stream_prompts",
+    f"SELECT i.prompt_id, {ROUTE} AS route, {shown(framed('title', PROMPT_LENGTH), 'ids')} FROM prompt_ids i JOIN prompts USING (prompt_id)",
+    TURNS, SPLIT, VOCAB, *PROMPT_IDS)
+
+# Decoders by brute force: every step scores every token of the vocabulary for every open prompt.
+PROMPT_SCORES = f"""prompt_sources AS (
+    SELECT prompt_id, s, count(*)::DOUBLE / any_value(length) AS share FROM (
+        SELECT prompt_id, unnest(l) AS s, len(l) AS length
+        FROM (SELECT prompt_id, [x FOR x IN {framed('title', PROMPT_LENGTH)} IF x <> 0] AS l FROM prompt_ids)) GROUP BY ALL),
+prompt_scores AS (SELECT prompt_id AS pair_id, w, sum(share * t) AS a
+    FROM prompt_sources JOIN t{EPOCHS} USING (s) GROUP BY ALL)"""
+DECODED = (*TURN_SMOOTHED, PAIRED, em(EPOCHS), *PROMPT_IDS, PROMPT_SCORES)
+KEPT_WHOLE = "p_one p_two p_three left_two left_three prompt_scores prompt_ids vocab".split()
+
+
+def greedy(name: str, steps: int, stop: bool) -> str:
+    """``name(prompt_id, step, w)``: the most probable token at each step."""
+    ended = "AND s.c1 <> 2" if stop else ""
+    return f"""{name} AS (
+        SELECT prompt_id AS pair_id, 0 AS step, 0::BIGINT AS c2, 1::BIGINT AS c1 FROM prompt_ids UNION ALL
+        SELECT pair_id, step + 1, c1, arg_min(w, (-round(p, 12), w)) FROM (
+            SELECT s.pair_id, s.step, s.c1, p_one.w, {MIXED.format(a='prompt_scores')} AS p
+            FROM {name} s CROSS JOIN p_one {LOOKUPS.format(a='prompt_scores')} WHERE s.step < {steps} {ended})
+        GROUP BY pair_id, step, c1)"""
+
+
+def draw(*parts: str) -> str:
+    text = " || '|' || ".join((f"'{SEED}'", *parts))
+    return f"((('0x' || substr(md5({text}), 1, 12))::BIGINT + 0.5::DOUBLE) / {float(16**12)})"
+
+
+def sampled(name: str, steps: int) -> str:
+    """``name(prompt_id, step, w)``: one draw per step from the tempered distribution."""
+    power = f"1 / {TEMPERATURE}::DOUBLE"
+    k = "coalesce(left_three.k, 1) * coalesce(left_two.k, 1)"
+    seen = "greatest(coalesce(p_three.p, 0), coalesce(left_three.k, 1) * coalesce(p_two.p, 0))"
+    a = "coalesce(prompt_scores.a, 0)"
+    return f"""tempered AS MATERIALIZED (
+        SELECT w, pow(p, {power}) AS weight, sum(pow(p, {power})) OVER (ORDER BY w) AS upto, sum(pow(p, {power})) OVER () AS total FROM p_one),
+    ranges AS MATERIALIZED (SELECT w, coalesce(lag(upto) OVER (ORDER BY w) / total, 0) AS low,
+        CASE WHEN lead(w) OVER (ORDER BY w) IS NULL THEN 1 ELSE upto / total END AS high, total FROM tempered),
+    {name} AS (
+        SELECT prompt_id AS pair_id, 0 AS step, 0::BIGINT AS c2, 1::BIGINT AS c1 FROM prompt_ids UNION ALL
+        SELECT pair_id, step + 1, c1, arg_max(w, (score, w)) FROM (
+            SELECT pair_id, step, c1, w, ln(excess) - ln(-ln({draw('pair_id', 'step', 'w')})) AS score FROM (
+                SELECT s.pair_id, s.step, s.c1, p_one.w,
+                    pow(greatest(0.5 * {seen}, 0.5 * {k} * p_one.p) + 0.5 * {a}, {power}) - pow(0.5 * {k} * p_one.p, {power}) AS excess
+                FROM {name} s CROSS JOIN p_one {LOOKUPS.format(a='prompt_scores')} WHERE s.step < {steps}) WHERE excess > 0
+            UNION ALL
+            SELECT s.pair_id, s.step, s.c1, r.w,
+                ln(pow(0.5 * {k}, {power}) * r.total) - ln(-ln({draw('s.pair_id', 's.step', "'base'")}))
+            FROM {name} s LEFT JOIN left_three ON left_three.c2 = s.c2 AND left_three.c1 = s.c1
+            LEFT JOIN left_two ON left_two.c1 = s.c1
+            JOIN ranges r ON {draw('s.pair_id', 's.step', "'place'")} >= r.low AND {draw('s.pair_id', 's.step', "'place'")} < r.high
+            WHERE s.step < {steps})
+        GROUP BY pair_id, step, c1)"""
+
+
+def answers(name: str) -> str:
+    """Text of the tokens behind the start."""
+    return f"""SELECT i.prompt_id, coalesce(text, '') AS text FROM prompt_ids i LEFT JOIN (
+        SELECT d.pair_id AS prompt_id, string_agg(v.token, ' ' ORDER BY step) AS text
+        FROM {name} d JOIN vocab v ON v.id = d.c1 WHERE step > 0 GROUP BY 1) USING (prompt_id)"""
+
+
+def decoded(name: str, select: str, *decoders: str) -> None:
+    recursive(name, select, *DECODED, *decoders)
+    for part in KEPT_WHOLE:
+        ORACLES[name] = re.sub(rf"\b{part} AS \(", f"{part} AS MATERIALIZED (", ORACLES[name])
+
+
+decoded("decode_greedy", answers("plain"), greedy("plain", ANSWER_LENGTH, True))
+decoded("decode_greedy_fixed", answers("fixed"), greedy("fixed", ANSWER_LENGTH, False))
+decoded("decode_sample", answers("drawn"), sampled("drawn", COMPARED_LENGTH))
+decoded("stream_answers", f"SELECT prompt_id, a.text FROM ({answers('plain')}) a JOIN prompts p USING (prompt_id) WHERE {ROUTE.replace('text', 'p.text')} = 'prompt'",
+    greedy("plain", COMPARED_LENGTH, True))
+decoded("decoder_compare",
+    f"""SELECT prompt_id, a.text AS plain, b.text AS sampled, c.text AS greedy, a.text = b.text AND a.text = c.text AS all_equal
+    FROM ({answers('plain')}) a JOIN ({answers('drawn')}) b USING (prompt_id) JOIN ({answers('fixed')}) c USING (prompt_id)""",
+    greedy("plain", COMPARED_LENGTH, True), sampled("drawn", COMPARED_LENGTH), greedy("fixed", COMPARED_LENGTH, False))
 sql("stream_metrics", f"SELECT vec_id // {TRAIN_BATCH * 8} AS epoch, {LOSS}, {ACCURACY}, {STRICT} FROM scored GROUP BY 1",
     SCORED)
 
 WIDTH = 64
 VECTORS = f"""entries AS (SELECT id FROM vocab UNION ALL SELECT id FROM reserved),
 table_size AS (SELECT count(*) AS rows FROM embeddings),
-vectors AS (SELECT id, [x::DOUBLE FOR x IN embedding] AS v FROM entries, table_size JOIN embeddings ON vec_id = id % rows)"""
+placed_vectors AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, embedding FROM embeddings),
+vectors AS (SELECT id, [x::DOUBLE FOR x IN embedding] AS v FROM entries, table_size JOIN placed_vectors ON place = id % rows)"""
 
 
 def angle(i: int) -> str:
@@ -417,7 +554,7 @@ sql("embed_tokens",
     f"placed AS (SELECT * FROM (SELECT pair_id, unnest(input_ids) AS id, unnest(range({L})) AS pos FROM encoded) WHERE id <> 0)")
 sql("positional_table",
     "SELECT pos, count(*) AS rows, "
-    + ", ".join(f"round(sum({angle(i)}), 6) AS d{i}" for i in (0, 1, 31, 32, 33, 63))
+    + ", ".join(f"round(sum({angle(i)}), 6) AS d{i}" for i in range(WIDTH))
     + " FROM placed GROUP BY pos",
     *TURN_ENCODED,
     f"placed AS (SELECT * FROM (SELECT unnest(input_ids) AS id, unnest(range({L})) AS pos FROM encoded) WHERE id <> 0)")
@@ -431,7 +568,7 @@ def attention(name: str, queries: str, keys: str, causal: bool = False) -> None:
 
     limit = "AND k.pos <= q.pos" if causal else ""
     sql(name,
-        by_dimension([f"sum(weight * v[{i + 1}]) / count(DISTINCT pos)" for i in range(WIDTH)], "weighted", "GROUP BY pair_id"),
+        f"SELECT pair_id, pos, {', '.join(f'round(sum(weight * v[{i + 1}]), 6) AS d{i}' for i in range(WIDTH))} FROM weighted GROUP BY ALL",
         *TURN_ENCODED, RESERVED, VECTORS, side(queries, "q"), side(keys, "k"),
         f"""scores AS (SELECT q.pair_id, q.pos, exp(list_dot_product(q.v, k.v) / sqrt({WIDTH})) AS e, k.v
             FROM q JOIN k ON k.pair_id = q.pair_id {limit})""",

@@ -12,7 +12,7 @@ from pairloom.functions import sequences as S
 from pairloom.functions import text as T
 from pairloom.operators import align, batches, bpe, decode, encode, history, metrics, ngram, split, vectors, vocabulary
 from pairloom.plans import training
-from pairloom.settings import EPOCHS, PROMPT_LENGTH, SEQUENCE_LENGTH, TEMPERATURE, TRAIN_BATCH
+from pairloom.settings import ANSWER_LENGTH, COMPARED_LENGTH, EPOCHS, MERGES, PROMPT_LENGTH, SEQUENCE_LENGTH, TEMPERATURE, TRAIN_BATCH
 from pairloom.sources import pairs as P
 from pairloom.sources import stages
 from pairloom.streaming import metrics as live_metrics
@@ -22,9 +22,6 @@ from pairloom.workspace import new_folder, stage
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-ANSWER_LENGTH = 20
-COMPARED_LENGTH = 8
-MERGES = 60
 
 
 def query(function: Query) -> Query:
@@ -224,26 +221,33 @@ def special_tokens(spark, sf):
     )
 
 
+def _merges(spark, sf) -> DataFrame:
+    return bpe.learn_merges(only(split.split_fraction(turn_pairs(spark, sf)), "train"), "code", MERGES)
+
+
 @query
 def bpe_merges(spark, sf):
-    return bpe.learn_merges(turn_pairs(spark, sf), "code", MERGES)
+    return _merges(spark, sf)
 
 
 @query
 def encode_bpe(spark, sf):
     pairs = turn_pairs(spark, sf)
-    merges = stage(bpe.learn_merges(pairs, "code", MERGES), "merges")
+    path = new_folder(spark, "merges")
+    stages.write_table(_merges(spark, sf), path)
+    merges = stages.load_merges(spark, path)
     ids = bpe.encode_subwords(pairs, merges, "code", "pair_id", SEQUENCE_LENGTH)
     return ids.select("pair_id", shown(S.frame(F.col("ids"), SEQUENCE_LENGTH)).alias("ids"))
 
 
 @query
 def decode_bpe(spark, sf):
-    """Subword ids of whole texts, decoded: the texts themselves."""
+    """Subword ids of whole texts, how many there are, and the texts that they decode to."""
     pairs = turn_pairs(spark, sf)
-    merges = stage(bpe.learn_merges(pairs, "code", 20), "merges")
-    ids = bpe.encode_subwords(pairs, merges, "code", "pair_id", 1 << 30)
-    return bpe.decode_subwords(ids, merges, "pair_id", "ids")
+    merges = stage(_merges(spark, sf), "merges")
+    ids = stage(bpe.encode_subwords(pairs, merges, "code", "pair_id", 1 << 30), "subwords")
+    sizes = ids.select("pair_id", F.size("ids").cast("bigint").alias("pieces"))
+    return bpe.decode_subwords(ids, merges, "pair_id", "ids").join(sizes, "pair_id")
 
 
 @query
@@ -252,26 +256,32 @@ def encode_ids(spark, sf):
     return ids.select("pair_id", shown(F.col("title")).alias("title"), shown(F.col("code")).alias("code"))
 
 
+def _both(ids: DataFrame, made) -> DataFrame:
+    return ids.select("pair_id", *[shown(made(F.col(c))).alias(c) for c in ("title", "code")])
+
+
 @query
 def add_bos_eos(spark, sf):
-    return document_ids(spark, sf).select("pair_id", shown(S.add_marks(F.col("title"))).alias("ids"))
+    return _both(document_ids(spark, sf), S.add_marks)
 
 
 @query
 def truncate_ids(spark, sf):
-    ids = document_ids(spark, sf, PROMPT_LENGTH)
-    return ids.select("pair_id", F.size("code").cast("bigint").alias("kept"), shown(F.col("code")).alias("ids"))
+    """Both columns cut for the model, and the outputs cut for a prompt."""
+    ids = document_ids(spark, sf)
+    short = S.truncate(F.col("code"), PROMPT_LENGTH)
+    kept = [F.size(c).cast("bigint").alias(f"{c}_kept") for c in ("title", "code")]
+    return ids.select("pair_id", *kept, shown(F.col("title")).alias("title"), shown(F.col("code")).alias("code"), shown(short).alias("short"))
 
 
 @query
 def pad_ids(spark, sf):
-    return document_ids(spark, sf).select("pair_id", shown(S.frame(F.col("title"), SEQUENCE_LENGTH)).alias("ids"))
+    return _both(document_ids(spark, sf), lambda c: S.frame(c, SEQUENCE_LENGTH))
 
 
 @query
 def pad_mask(spark, sf):
-    mask = S.pad_mask(S.frame(F.col("title"), SEQUENCE_LENGTH)).cast("array<int>")
-    return document_ids(spark, sf).select("pair_id", shown(mask).alias("mask"))
+    return _both(document_ids(spark, sf), lambda c: S.pad_mask(S.frame(c, SEQUENCE_LENGTH)).cast("array<int>"))
 
 
 @query
@@ -294,9 +304,8 @@ def features(spark, sf):
 @query
 def cast_format(spark, sf):
     """The decoding form: prompts of 100 ids as 64-bit numbers."""
-    framed = S.frame(F.col("title"), PROMPT_LENGTH).cast("array<bigint>")
-    ids = document_ids(spark, sf, PROMPT_LENGTH).select("pair_id", framed.alias("ids"))
-    return ids.select("pair_id", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    ids = document_ids(spark, sf, PROMPT_LENGTH)
+    return _both(ids, lambda c: S.frame(c, PROMPT_LENGTH).cast("array<bigint>"))
 
 
 @query
@@ -430,9 +439,10 @@ def loss_series(spark, sf):
 
 @query
 def performance_tier(spark, sf):
-    """Tiers of the runs, with losses scaled so that all tiers occur."""
-    runs = _runs(spark, sf).withColumn("val_loss", F.round(F.col("val_loss") / 150, 6))
-    return history.performance_tier(runs)
+    """Tiers of the runs, each with its losses scaled by 50, 150 and 400, so that all tiers occur."""
+    scale = F.explode(F.array(*[F.lit(x) for x in (50, 150, 400)]))
+    runs = _runs(spark, sf).withColumn("scale", scale).withColumn("run_id", F.concat_ws("/", "run_id", "scale"))
+    return history.performance_tier(runs.withColumn("val_loss", F.round(F.col("val_loss") / F.col("scale"), 6)))
 
 
 @query
@@ -558,7 +568,7 @@ def prompt_normalize(spark, sf):
 
 @query
 def prompt_route(spark, sf):
-    """Routes of all turns, of their event types behind a colon, and of single letters behind a colon."""
+    """Routes of all turns as they are and behind a colon, and of single letters behind a colon."""
     turns = table(spark, sf, "conversations").select("text", F.col("turn"))
     letters = F.get(F.array(*[F.lit(x) for x in (":s", ":ts", ":q", ":A", ":p", ":ls", " :s")]), F.col("turn").cast("int"))
     asked = turns.select("turn", F.explode(F.array("text", F.concat(F.lit(":"), "text"), letters)).alias("text"))
@@ -594,14 +604,15 @@ def positional_table(spark, sf):
     placed = taken.join(F.broadcast(vectors.positional_table(spark, WIDTH)), "pos")
     return placed.groupBy("pos").agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.round(F.sum(F.get("signal", F.lit(i))), 6).alias(f"d{i}") for i in (0, 1, 31, 32, 33, 63)],
+        *[F.round(F.sum(F.get("signal", F.lit(i))), 6).alias(f"d{i}") for i in range(WIDTH)],
     ).withColumn("pos", long("pos"))
 
 
 def _attend(spark, sf, queries: str, keys: str, causal: bool = False) -> DataFrame:
     corpus = _corpus(spark, sf)
     table_ = _vector_table(corpus, spark, sf)
-    return _by_dimension(vectors.attend(corpus.encoded, table_, "pair_id", queries, keys, causal))
+    rows = vectors.attend(corpus.encoded, table_, "pair_id", queries, keys, causal)
+    return rows.select("pair_id", long("pos"), *[F.round(F.get("vector", F.lit(i)), 6).alias(f"d{i}") for i in range(WIDTH)])
 
 
 @query

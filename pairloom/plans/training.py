@@ -15,7 +15,7 @@ from pairloom.operators.ngram import NgramModel, fit_ngrams, positions
 from pairloom.operators.split import split_fraction
 from pairloom.operators.vocabulary import full_vocabulary, learn_words
 from pairloom.settings import EPOCHS, SEQUENCE_LENGTH
-from pairloom.sources.stages import append_history, build_or_load, load_vocabulary, stage_done, write_table
+from pairloom.sources.stages import append_history, build_or_load, is_current, load_vocabulary, note_parameters, write_table
 from pairloom.workspace import new_folder, stage
 
 
@@ -35,16 +35,24 @@ def prepare(
     length: int = SEQUENCE_LENGTH,
     force: bool = False,
 ) -> Corpus:
-    """Split, learn the vocabulary from the training outputs, encode. Finished stages under ``folder`` are used again."""
+    """Split, learn the vocabulary from the training outputs, encode.
+
+    Finished stages under ``folder`` are used again while the pairs, the split and the length are the same; a stage that
+    is built anew has all that follow it built anew.
+    """
     spark = pairs.sparkSession
     folder = folder or new_folder(spark, "corpus")
-    cleaned = build_or_load(spark, f"{folder}/cleaned", lambda: split(pairs), force)
+    inputs = {"pairs": pairs.semanticHash(), "split": getattr(split, "__name__", repr(split))}
+    rebuild = force or not is_current(spark, f"{folder}/cleaned", inputs)
+    cleaned = build_or_load(spark, f"{folder}/cleaned", lambda: split(pairs), rebuild, inputs)
     words = f"{folder}/vocabulary"
-    if force or not stage_done(spark, words):
+    rebuild = rebuild or not is_current(spark, words, inputs)
+    if rebuild:
         write_table(full_vocabulary(learn_words(cleaned.filter(F.col("split") == "train"))), words)
+        note_parameters(spark, words, inputs)
     vocabulary = load_vocabulary(spark, words)
     encoded = build_or_load(
-        spark, f"{folder}/encoded", lambda: encode_pairs(cleaned, vocabulary, length, length), force
+        spark, f"{folder}/encoded", lambda: encode_pairs(cleaned, vocabulary, length, length), rebuild, {**inputs, "length": length}
     )
     return Corpus(cleaned, vocabulary, encoded)
 
@@ -90,21 +98,17 @@ def validate(encoded: DataFrame, model: PairModel) -> DataFrame:
 
 
 def validation_history(corpus: Corpus, fitted: Fitted, run_id: str) -> DataFrame:
-    """A history row per pass: loss on the training rows, loss and accuracy on the test rows."""
+    """A history row per pass: loss and accuracy on the training rows and on the test rows."""
     train = corpus.encoded.filter(F.col("split") == "train")
     test = corpus.encoded.filter(F.col("split") == "test")
     history = None
     for epoch in range(1, len(fitted.alignments) + 1):
         model = fitted.model(after=epoch)
-        losses = token_losses(train, model).groupBy(F.lit(epoch).alias("epoch"))
-        loss = losses.agg(masked_loss(-F.ln("p"), F.col("w")).alias("loss"))
-        row = validate(test, model).withColumn("epoch", F.lit(epoch)).join(loss, "epoch").select(
-            F.lit(run_id).alias("run_id"),
-            "epoch",
-            "loss",
-            "val_loss",
-            F.lit(None).cast("double").alias("masked_accuracy"),
-            "val_masked_accuracy",
+        seen = validate(train, model).select(
+            F.lit(epoch).alias("epoch"), F.col("val_loss").alias("loss"), F.col("val_masked_accuracy").alias("masked_accuracy")
+        )
+        row = validate(test, model).withColumn("epoch", F.lit(epoch)).join(seen, "epoch").select(
+            F.lit(run_id).alias("run_id"), "epoch", "loss", "val_loss", "masked_accuracy", "val_masked_accuracy"
         )
         history = row if history is None else history.unionByName(row)
     return stage(history, "history")

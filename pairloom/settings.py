@@ -23,6 +23,8 @@ SEED = 2050
 
 # Vocabulary and sequence sizes.
 VOCABULARY_SIZE = 52000
+ANSWER_LENGTH, COMPARED_LENGTH = 20, 8  # tokens that the decoding queries ask for; the decoders take any number
+MERGES = 60  # how many the queries learn; learn_merges takes any number
 CHUNK_ROWS = 1000
 SEQUENCE_LENGTH = 512
 PROMPT_LENGTH = 100

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.settings import INPUT_COLUMN, OUTPUT_COLUMN
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. One that comes in fewer pieces than there are task slots is spread over all of them, so that
-    work per text does not wait for one task; a large table is read as it is, without a shuffle."""
-    df = spark.read.parquet(path)
-    slots = spark.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    """A Parquet table, read as it is; ``spark.sql.files.*`` decides into how many pieces."""
+    return spark.read.parquet(path)
 
 
 def read_pairs(spark: SparkSession, location: str, table: str | None = None, **options) -> DataFrame:
@@ -41,19 +38,24 @@ def drop_columns(df: DataFrame, columns: list[str] | None) -> DataFrame:
     return df.drop(*(columns or []))
 
 
+def turn_id(stride: int) -> Column:
+    """``conv_id * stride + turn``. A turn that would run into the next conversation's ids is an error, not a clash."""
+    turn = F.when(F.col("turn") < stride, F.col("turn")).otherwise(
+        F.raise_error(F.lit(f"a conversation has more than {stride} turns; raise the stride"))
+    )
+    return F.col("conv_id") * stride + turn
+
+
 def pairs_from_turns(conversations: DataFrame, stride: int = 1000) -> DataFrame:
     """A user turn and the assistant turn right behind it.
 
     An equi-join on (conversation, turn) rather than a window per conversation: one very long conversation spreads
-    over all tasks. ``stride`` is the room for turns in an id; a longer conversation is an error, not a clash.
+    over all tasks. ``stride`` is the room for turns in an id.
     """
-    turn = F.when(F.col("turn") < stride, F.col("turn")).otherwise(
-        F.raise_error(F.lit(f"a conversation has more than {stride} turns; raise the stride"))
-    )
     asked = conversations.filter(F.col("role") == "user").select(
         "conv_id",
         (F.col("turn") + 1).alias("answer_turn"),
-        (F.col("conv_id") * stride + turn).alias("pair_id"),
+        turn_id(stride).alias("pair_id"),
         F.col("text").alias("title"),
     )
     answered = conversations.filter(F.col("role") == "assistant").select(
@@ -75,5 +77,5 @@ def pairs_from_documents(documents: DataFrame) -> DataFrame:
 def prompts_from_turns(conversations: DataFrame, stride: int = 1000) -> DataFrame:
     """Every user turn as a prompt."""
     return conversations.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * stride + F.col("turn")).alias("prompt_id"), "text"
+        turn_id(stride).alias("prompt_id"), "text"
     )

@@ -44,18 +44,22 @@ class SqliteSource(DataSource):
         for _, name, declared, *_ in columns:
             kind = next((t for part, t in AFFINITY.items() if part in declared.upper()), StringType())
             fields.append(StructField(name, kind))
-        return StructType([StructField("pair_id", LongType()), *[f for f in fields if f.name != "pair_id"]])
+        if any(f.name.lower() == "pair_id" for f in fields):
+            return StructType(fields)
+        return StructType([StructField("pair_id", LongType()), *fields])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return SqliteReader(self.options, [f.name for f in schema.fields])
+        with _connect(self.options["path"]) as db:
+            own = {row[1] for row in db.execute(f"PRAGMA table_info({_quoted(self.options['table'])})")}
+        return SqliteReader(self.options, [_quoted(f.name) if f.name in own else "rowid" for f in schema.fields])
 
 
 class SqliteReader(DataSourceReader):
-    """Each task reads one rowid range in batches; ``pair_id`` is the rowid."""
+    """Each task reads one rowid range in batches; ``pair_id`` is the rowid unless the table has a column of that name."""
 
-    def __init__(self, options, names: list[str]):
+    def __init__(self, options, columns: list[str]):
         self.path, self.table = options["path"], options["table"]
-        self.count, self.names = int(options.get("partitions", 8)), names
+        self.count, self.columns = int(options.get("partitions", 8)), columns
 
     def partitions(self) -> list[RowidRange]:
         with _connect(self.path) as db:
@@ -66,7 +70,6 @@ class SqliteReader(DataSourceReader):
         return [RowidRange(a, a + width) for a in range(low, high + 1, width)]
 
     def read(self, partition: RowidRange):
-        columns = ", ".join("rowid" if n == "pair_id" else _quoted(n) for n in self.names)
-        query = f"SELECT {columns} FROM {_quoted(self.table)} WHERE rowid >= ? AND rowid < ?"
+        query = f"SELECT {', '.join(self.columns)} FROM {_quoted(self.table)} WHERE rowid >= ? AND rowid < ?"
         with _connect(self.path) as db:
             yield from db.execute(query, (partition.low, partition.high))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -34,10 +35,33 @@ def stage_done(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
-def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """Load the stage at ``path`` when it is finished and not forced; otherwise build, save and load it."""
-    if force or not stage_done(spark, path):
+def is_current(spark: SparkSession, path: str, parameters: dict | None = None) -> bool:
+    """Whether the stage is finished and was built with these parameters."""
+    if not stage_done(spark, path):
+        return False
+    if parameters is None:
+        return True
+    noted = f"{path}-parameters"
+    return stage_done(spark, noted) and spark.read.parquet(noted).first()["parameters"] == _noted(parameters)
+
+
+def _noted(parameters: dict) -> str:
+    return json.dumps(parameters, sort_keys=True, default=str)
+
+
+def note_parameters(spark: SparkSession, path: str, parameters: dict | None) -> None:
+    """Keep what a stage was built with beside it."""
+    if parameters is not None:
+        write_table(spark.createDataFrame([(_noted(parameters),)], "parameters string"), f"{path}-parameters")
+
+
+def build_or_load(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False, parameters: dict | None = None
+) -> DataFrame:
+    """Load the stage at ``path`` when it is finished with the same parameters and not forced; otherwise build, save and load it."""
+    if force or not is_current(spark, path, parameters):
         write_cleaned(build(), path)
+        note_parameters(spark, path, parameters)
     return load_cleaned(spark, path)
 
 
@@ -54,10 +78,18 @@ def write_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(path)
 
 
-def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """A saved vocabulary, checked to be small enough for the broadcast joins that use it."""
-    vocabulary = spark.read.parquet(path)
-    size = vocabulary.count()
+def _bounded(table: DataFrame) -> DataFrame:
+    size = table.count()
     if size > VOCABULARY_BOUND:
         raise ValueError(f"{size} entries: a vocabulary may have {VOCABULARY_BOUND} at most")
-    return vocabulary
+    return table
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """A saved vocabulary, checked to be small enough for the broadcast joins that use it."""
+    return _bounded(spark.read.parquet(path))
+
+
+def load_merges(spark: SparkSession, path: str) -> DataFrame:
+    """Saved byte-pair merges ``(place, left, right, n)``, checked like a vocabulary."""
+    return _bounded(spark.read.parquet(path).select("place", "left", "right", "n"))

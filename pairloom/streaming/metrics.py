@@ -14,15 +14,18 @@ def read_logits(spark: SparkSession, path: str, files_per_batch: int = 64) -> Da
     return spark.readStream.schema(LOGITS_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def stream_metrics(rows: DataFrame, folder: str, checkpoint: str):
-    """Metrics so far per epoch, written at every update. The state is a few sums per epoch."""
+def stream_metrics(rows: DataFrame, folder: str, checkpoint: str, **trigger):
+    """Metrics so far per epoch, written at every update. The state is a few sums per epoch.
+
+    ``trigger`` is that of Structured Streaming; by default what has arrived is worked off.
+    """
     scored = score_logits(rows, "label", "embedding")
     totals = evaluate(scored, "label", by=("epoch",))
     query = (
         totals.writeStream.outputMode("update")
         .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/batch_id={n}"))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
     )
     return query.start()
 
