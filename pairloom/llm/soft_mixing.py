@@ -7,8 +7,9 @@
 2. *Rates.* A row is to be taken ``rate`` times. The expected tokens of domain k are the sum of rate * tokens * posterior_k;
    the targets are the given weights times all tokens. Least squares on the difference, with a small penalty (RIDGE) on
    moving a row's tokens away from a rate of 1, is solved by projected gradient steps: each moves the domains' pull along
-   the gradient, scaled by their Gram matrix, and projects every rate to max(0, 1 + pull . posterior). A step needs only
-   the domain totals, one small aggregate over the staged posteriors, and rates are never written between steps.
+   the gradient, scaled by the Gram matrix of the rows above 0, and projects every rate to max(0, 1 + pull . posterior); a
+   step that does not bring the gradient down is halved. A step needs the domain totals and that matrix, one small
+   aggregate over the staged posteriors, and rates are never written between steps.
 3. *Copies.* A row is written floor(rate) times and once more with the remaining probability, by a hash of its doc_id.
 
 Only the feature tables (domains x BUCKETS numbers), totals and Gram matrix reach the driver or the tasks. Defined cases: a
@@ -145,20 +146,28 @@ def _rate(pull: np.ndarray) -> Column:
 def fitted_pull(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
     """The domains' pull at which the gradient of the least squares vanishes for every rate above 0."""
     size = len(weights)
-    p, tokens = F.col("posterior"), F.col("tokens")
-    gram = rows.agg(*(F.sum(tokens * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(size)), F.sum(tokens).alias("all")).first()
-    pull = np.zeros(size)
-    if not gram["all"]:
-        return pull
-    ridge = RIDGE * gram["all"]
-    matrix = np.array([[gram[f"g{i}_{j}"] for j in range(size)] for i in range(size)]) + ridge * np.eye(size)
-    targets = weights * gram["all"]
+    p, tokens, rate = F.col("posterior"), F.col("tokens"), F.col("rate")
+    pull, step, best = np.zeros(size), np.zeros(size), np.inf
     for _ in range(STEPS):
-        row = rows.withColumn("rate", _rate(pull)).agg(*(F.sum(F.col("rate") * tokens * p[k]).alias(str(k)) for k in range(size))).first()
-        gradient = targets - np.array([row[str(k)] for k in range(size)]) - ridge * pull
-        if np.abs(gradient).max() <= CLOSE * gram["all"]:
+        at = pull + step
+        moving = F.when(rate > 0, tokens)  # rates at 0 do not answer to a small step
+        row = rows.withColumn("rate", _rate(at)).agg(
+            F.sum(tokens).alias("all"),
+            *(F.sum(rate * tokens * p[k]).alias(f"t{k}") for k in range(size)),
+            *(F.sum(moving * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(size)),
+        ).first()
+        if not row["all"]:
+            return pull
+        ridge = RIDGE * row["all"]
+        gradient = weights * row["all"] - np.array([row[f"t{k}"] for k in range(size)]) - ridge * at
+        if np.abs(gradient).max() >= best:
+            step = step / 2
+            continue
+        pull, best = at, np.abs(gradient).max()
+        if best <= CLOSE * row["all"]:
             break
-        pull += np.linalg.solve(matrix, gradient)
+        gram = np.array([[row[f"g{i}_{j}"] or 0.0 for j in range(size)] for i in range(size)])
+        step = np.linalg.solve(gram + ridge * np.eye(size), gradient)
     return pull
 
 

@@ -17,7 +17,7 @@ Labels are read only of rows whose crc32(doc_id as text) mod 4 is not 2 (``held_
 are kept, the most frequent; that bounds what is sent to the tasks. The shared counts cover all documents, and every whole
 text is scored. Counting and scoring are distributed and per-batch sums are combined before they are shuffled.
 
-Defined cases: null, empty and blank texts have ratios of 0 and get the curve's score there; a doc_id that is null is not
+Defined cases: null, empty and blank texts score as many parts as the curve's rows are toxic; a doc_id that is null is not
 learned from (held_out is null); labels other than 0 and 1, and labels that contradict each other, are left out; without
 labels of both classes every score is 0. Repeated rows score alike. Other columns are ignored.
 """
@@ -246,7 +246,7 @@ def fitted_curve(values: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple | None:
-    """Model, as a broadcast of its arrays, and curve; None if the labels that may be used do not show both classes."""
+    """Model, as a broadcast of its arrays, curve, and the part of toxic rows it was fitted on; None if the labels that may be used do not show both classes."""
     labels = jobs.with_columns(labels, doc_id="long", toxic="int").where("toxic IN (0, 1)").where(fold(F.col("doc_id")) != HELD_OUT)
     labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     size = labels.count()
@@ -293,7 +293,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple | None:
     seen = sample.where(fold(F.col("doc_id")) == CURVE).mapInArrow(lambda batches: _features(batches, shipped, ["toxic"]), f"doc_id long, toxic int, {KINDS}").toArrow()
     values = np.column_stack([seen.column(c).to_numpy() for c in FEATURES])
     toxic = seen.column("toxic").to_numpy().astype(float)
-    return (shipped, fitted_curve(values, toxic)) if 0 < toxic.sum() < len(toxic) else None
+    return (shipped, fitted_curve(values, toxic), toxic.mean()) if 0 < toxic.sum() < len(toxic) else None
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -303,8 +303,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = learned(docs, labels)
     if found is None:
         return docs.select("doc_id", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *(F.lit(0.0).alias(c) for c in FEATURES))
-    shipped, curve = found
+    shipped, curve, share = found
     out = docs.mapInArrow(lambda batches: _features(batches, shipped, []), f"doc_id long, {KINDS}")
     score = 1 / (1 + F.exp(-sum((F.col(c) * float(w) for c, w in zip(FEATURES, curve[1:])), F.lit(float(curve[0])))))
+    score = F.round(F.when(F.col("size") > 0, score).otherwise(float(share)), 9)  # sums of equal texts differ in the last places
     out = out.withColumn("score", score)
     return out.select("doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *FEATURES)
