@@ -223,7 +223,7 @@ def recursive(name: str, select: str, *parts: str) -> None:
     ORACLES[name] = f"WITH RECURSIVE {', '.join(parts)} {select}"
 
 
-recursive("bpe_merges", 'SELECT place, l AS "left", r AS "right", most::BIGINT AS n FROM merges', *TURN_SUBWORDS)
+recursive("bpe_merges", 'SELECT place::BIGINT AS place, l AS "left", r AS "right", most::BIGINT AS n FROM merges', *TURN_SUBWORDS)
 recursive("encode_bpe",
     f"""SELECT pair_id, {shown(framed(f'l[1:{L - 2}]'), 'ids')}
     FROM (SELECT pair_id, coalesce(l, []::BIGINT[]) AS l FROM split LEFT JOIN subwords USING (pair_id))""", *TURN_SUBWORDS)

@@ -227,7 +227,7 @@ def _merges(spark, sf) -> DataFrame:
 
 @query
 def bpe_merges(spark, sf):
-    return _merges(spark, sf)
+    return _merges(spark, sf).select(long("place"), "left", "right", "n")
 
 
 @query
