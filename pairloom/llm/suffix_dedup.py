@@ -207,7 +207,8 @@ def suffix_order(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> np
     ranks[cover] = rank
 
     order, group = _dense(*(word[starts + k] for k in (0, 8, 16, 24)))
-    group = group[order]
+    new = np.append(True, np.diff(group[order]) != 0)
+    group = np.flatnonzero(new)[np.cumsum(new) - 1]  # a group is named by its first place, as its parts will be
     at = starts[order]
     open_ = np.ones(len(at), dtype=bool)
     while True:  # three-way partition of all tied groups at once, around one pivot each, by one rank per element
@@ -230,7 +231,7 @@ def suffix_order(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> np
         side = side[turn]
         open_[todo] = side != 0
         new = np.append(True, (mine[1:] != mine[:-1]) | (side[1:] != side[:-1]))
-        group[todo] = todo[np.flatnonzero(new)][np.cumsum(new) - 1]  # a part is named by its first place
+        group[todo] = todo[np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
 def repeated_spans(seed: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, lead: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple:
