@@ -19,10 +19,10 @@ from pairloom.llm import (
     suffix_dedup,
     toxicity,
 )
+from pairloom.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(function: Query) -> Query:

@@ -46,8 +46,8 @@ KINDS = (
     Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, "secret"),
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20, "identifier"),
     Kind("hex", r"[0-9a-f]{24,}", 0, 24, "secret"),
-    Kind("blob", r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}", 0, 40, "secret"),
-    Kind("user", r"""(?i)\b(user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3, "identifier"),
+    Kind("blob", r"[A-Za-z0-9+/]{40,}={0,2}", 0, 40, "secret"),
+    Kind("user", r"""(?i)(user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3, "identifier"),
     Kind("endpoint", r"""(?:https?|s3|ftp)://[^\x20\x09-\x0D"'<>]+""", 0, 10, "endpoint"),
 )
 BASE = 3
