@@ -39,6 +39,8 @@ ENTRIES = 1_000_000
 #: Labelled documents that must hold an n-gram; rarer ones are left to the shared counts.
 LEAST = 4
 SPAN = 1
+#: Text bytes whose counts are summed before the shuffle.
+GROUP_BYTES = 4 << 20
 #: Min-hashes by which near copies among the labelled documents are told.
 MARKS = 6
 THRESHOLD = 0.3
@@ -80,7 +82,7 @@ def _count(batches):
     """In how many labelled documents of each class an n-gram occurs; unigrams have -1 as the word before, stems -2."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-        befores, words, classes = [], [], []
+        befores, words, classes, size = [], [], [], 0
         for piece in packed.pieces(batch):
             row, before, word, stem = _bigrams(piece)
             for given, what in ((before, word), (np.full(len(word), -1), word), (np.full(len(word), -2), stem)):
@@ -90,9 +92,12 @@ def _count(batches):
                 befores.append(b[new])
                 words.append(c[new])
                 classes.append(toxic[piece.first + a[new]])
-        if words:
+            size += len(piece.data)
+            if size < GROUP_BYTES and piece.last < batch.num_rows:
+                continue
             kind = np.concatenate(classes).astype(np.int64)
             got = _gather(np.concatenate(befores), np.concatenate(words), kind, 1 - kind)
+            befores, words, classes, size = [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["before", "word", "toxic", "ordinary"])
 
 
