@@ -145,7 +145,7 @@ def _marks(batches):
 class Model:
     """Both classes' probabilities of the words after each other, as sorted hashes and arrays."""
 
-    def __init__(self, counts: dict[str, np.ndarray], sums: dict[int, dict[str, np.ndarray]], shared: dict[int, dict[int, int]]):
+    def __init__(self, counts: dict[str, np.ndarray], sums: dict[int, dict[str, np.ndarray]], shared: dict[int, tuple[np.ndarray, np.ndarray, int]]):
         def level(given: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
             """Keys, discounted parts, what is left for the shared counts, shared parts, and the part of the unseen."""
             mine = np.flatnonzero(counts["before"] == given)
@@ -154,8 +154,10 @@ class Model:
             total = np.maximum(of["total"], 1)[:, None]
             count = np.stack([counts[c][mine] for c in CLASSES])
             weight = np.clip(of["discount"] * of["types"] / total[:, 0], 1e-3, 1)[:, None]
-            floor = 1.0 / (shared[given].get(0, 0) + 1.0)
-            common = (np.array([shared[given].get(int(w), 0) for w in keys], dtype=float) + 1.0) * floor
+            met, documents, all_of_them = shared[given]
+            floor = 1.0 / (all_of_them + 1.0)
+            place, known = _find(met, keys)
+            common = (np.where(known, documents[place] if len(documents) else 0, 0) + 1.0) * floor
             return mine, keys, np.maximum(count - of["discount"][:, None], 0) / total, weight, common, floor
 
         _, self.stems, high, weight, common, _ = level(-2)
@@ -288,11 +290,14 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple | None:
 
     known = docs.sparkSession.sparkContext.broadcast({given: np.sort(entries["word"][entries["before"] == given]) for given in (-1, -2)})
     found = docs.mapInArrow(lambda batches: _documents_with(batches, known), "before long, word long, documents long")
-    found = found.groupBy("before", "word").agg(F.sum("documents").alias("documents")).toArrow().to_pydict()
-    shared: dict[int, dict[int, int]] = {-1: {}, -2: {}}
-    for given, word, n in zip(found["before"], found["word"], found["documents"]):
-        shared[given][word] = n
+    found = found.groupBy("before", "word").agg(F.sum("documents").alias("documents")).orderBy("before", "word").toArrow()
+    given, word, documents = (found.column(c).to_numpy() for c in ("before", "word", "documents"))
+    shared = {}
+    for level in (-1, -2):
+        every, mine = (given == level) & (word == 0), (given == level) & (word != 0)
+        shared[level] = (word[mine], documents[mine], int(documents[every].sum()))
     model = Model(entries, sums, shared)
+    del kept, entries, found, given, word, documents, shared
 
     shipped = docs.sparkSession.sparkContext.broadcast(model.__dict__)
     seen = sample.where(fold(F.col("doc_id")) == CURVE).mapInArrow(lambda batches: _features(batches, shipped, ["toxic"]), f"doc_id long, toxic int, {KINDS}").toArrow()
