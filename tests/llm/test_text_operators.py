@@ -209,6 +209,22 @@ def test_passages(spark, docs, texts):
         assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9 and r.similarity >= 0.8
 
 
+def test_passages_at_different_shifts(spark):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, want = [], []
+    for k in range(6):
+        long, short = fresh(200), fresh(110)
+        between = [fresh(90), fresh(30), None][k % 3]
+        hub = short + long if between is None else long + between + short
+        rows += [(10 * k, " ".join(fresh(20) + hub + fresh(20))), (10 * k + 1, " ".join(fresh(20) + long + short + fresh(20)))]
+        want += [(10 * k + 1, 20, 220), (10 * k + 1, 220, 330)]
+    got = compact_windows.passages(frame(spark, rows)).collect()
+    for doc, start, end in want:
+        covered = {w for r in got if r.doc_id == doc for w in range(r.start_word, r.start_word + r.n_words)}
+        assert len(covered & set(range(start, end))) > 0.85 * (end - start), (doc, start, end)
+
+
 def test_empty_tables(no_docs):
     assert suffix_dedup.deduplicated(no_docs).count() == 0
     assert repetition.judged(no_docs).count() == 0
