@@ -209,6 +209,26 @@ def test_passages(spark, docs, texts):
         assert abs(len(a & b) / len(a | b) - r.similarity) < 1e-9 and r.similarity >= 0.8
 
 
+def test_passages_whose_earliest_relative_is_a_variant(spark):
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, pairs = [], []
+    for k in range(20):
+        passage = fresh(56)
+        variants = [list(passage) for _ in range(2)]
+        for at in (20, 38):
+            variants[0][at] = "changed"
+        variants[0][5] = "changed"
+        variants[1][45:] = fresh(11)  # a fragment of 45 words
+        rows += [(10 * k + j, " ".join(fresh(40) + part + fresh(40))) for j, part in enumerate([variants[k % 2], passage, passage])]
+        rows += [(10 * k + 3 + j, " ".join(fresh(30) + part + fresh(30))) for j, part in enumerate([variants[(k + 1) % 2], passage])]
+        pairs += [{10 * k + 1, 10 * k + 2, 10 * k + 4}]
+    got = compact_windows.passages(frame(spark, rows)).collect()
+    found = [{r.doc_id, r.other_doc_id} for r in got]
+    for copies in pairs:
+        assert copies <= set().union(*(f for f in found if f <= copies)), copies
+
+
 def test_passages_at_different_shifts(spark):
     rng = np.random.default_rng(5)
     fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
