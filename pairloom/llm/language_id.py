@@ -2,8 +2,9 @@
 
 Evidence on a row's language, multiplied as likelihoods (log-likelihoods are added):
 
-* *text*: byte trigrams of its words under one multinomial model per language, learned from a bounded sample of rows with
-  their declared language as (noisy) label. Trigrams are not independent, so the sum is damped to ``WORTH`` trigrams;
+* *text*: byte trigrams of its words under one multinomial model per declared language, however many there are, learned from
+  a sample of rows with their declared language as (noisy) label: about ``SAMPLED`` of all, and about ``EACH`` of every
+  language that has fewer among these (all, if it has fewer at all). Trigrams are not independent, so the sum is damped to ``WORTH`` trigrams;
 * *declared* markup language: how often the rows of a language declare it, over all rows;
 * *suffix* of the address: how often the rows of a language have it;
 * *host* prior: languages of the host's rows, smoothed by those of its parent domain, and these by those of all rows. Each
@@ -11,8 +12,7 @@ Evidence on a row's language, multiplied as likelihoods (log-likelihoods are add
 
 A row is accepted when its text has letters and its best language has a posterior of at least ``CONFIDENT``.
 
-Only the trigram tables, LANGUAGES x BUCKETS numbers from at most about ``SAMPLED`` rows, and the table of declared
-languages are sent to tasks. Host and domain tables grow with the data and are joined by Spark; a hot host is one row there,
+Only the trigram tables, BUCKETS numbers per declared language, and the table of declared languages are sent to tasks. Host and domain tables grow with the data and are joined by Spark; a hot host is one row there,
 and the rows' side of that join is split by Spark's skew handling.
 
 Defined cases: null and empty texts, or texts without letters, rest on the other evidence and are not accepted; a null or
@@ -33,7 +33,8 @@ from pairloom.workspace import travels_with_tasks
 travels_with_tasks(__name__)
 
 SAMPLED = 12_000
-LANGUAGES = 64
+#: Rows of a declared language that are learned from at every size of the table, if it has so many.
+EACH = 200
 BUCKETS = 1 << 14
 #: Trigrams that a long text counts as; pseudo-rows by which a host or domain is drawn towards the level above.
 WORTH = 40.0
@@ -61,14 +62,13 @@ def _trigrams(piece: packed.Piece) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches, languages: list[str]):
-    """Trigram counts per language, a row per language of the batch."""
+    """Trigram counts per language and bucket."""
     for batch in batches:
         label = pa.compute.index_in(batch.column("declared"), pa.array(languages)).to_numpy(zero_copy_only=False).astype(np.int64)
-        counts = np.zeros((len(languages), BUCKETS), dtype=np.int64)
-        for piece in packed.pieces(batch):
+        for piece in packed.pieces(batch, size=8 * packed.PIECE):
             row, key = _trigrams(piece)
-            counts += np.bincount(label[piece.first + row] * BUCKETS + key, minlength=counts.size).reshape(counts.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages))), pa.array(list(counts))], names=["language", "counts"])
+            place, n = np.unique(label[piece.first + row] * BUCKETS + key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place // BUCKETS), pa.array(place % BUCKETS), pa.array(n)], names=["language", "bucket", "n"])
 
 
 def _likelihoods(batches, shipped):
@@ -116,16 +116,17 @@ def identified(rows: DataFrame) -> DataFrame:
     declared = F.lower(F.regexp_extract("declared", r"^\s*([A-Za-z]{2,8})", 1))  # en-GB is en
     rows = rows.select("id", "text", F.when(declared != "", declared).alias("declared"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"))
 
-    known = rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()
+    known = rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("n")).collect()
     languages = sorted(r["declared"] for r in known)
     if not languages:
         none = F.lit(None).cast("string")
         return rows.select("id", none.alias("language"), F.lit(0.0).alias("confidence"), none.alias("text_language"), F.lit(0).cast("long").alias("letters"), F.lit(False).alias("accepted"))
     share = min(1.0, SAMPLED / sum(r["n"] for r in known))
-    sample = rows.where(F.col("declared").isin(languages) & (F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20)) < int(share * (1 << 20))))
+    shares = spark.createDataFrame([(r["declared"], int(min(1.0, max(share, EACH / r["n"])) * (1 << 20)) + 1) for r in known], "declared string, share long")
+    sample = rows.join(F.broadcast(shares), "declared").where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20)) < F.col("share"))
     counts = np.zeros((len(languages), BUCKETS))
-    made = sample.mapInArrow(lambda batches: _count(batches, languages), "language long, counts array<long>")
-    made = made.select("language", F.posexplode("counts").alias("bucket", "n")).where("n > 0").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    made = sample.mapInArrow(lambda batches: _count(batches, languages), "language long, bucket long, n long")
+    made = made.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts[made.column("language").to_numpy(), made.column("bucket").to_numpy()] = made.column("n").to_numpy()
     shared = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * BUCKETS)
     table = np.log((counts + 2000 * shared) / (counts.sum(axis=1, keepdims=True) + 2000))

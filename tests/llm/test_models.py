@@ -139,6 +139,20 @@ def test_host_prior_decides_a_short_text(spark):
     assert not got[902]["accepted"] and not got[903]["accepted"]
 
 
+def test_many_and_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLED", 200)
+    rng = np.random.default_rng(4)
+    names = [f"{a}{b}" for a in "pqrstuvw" for b in "abcdefghij"]
+    words = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for n in names}
+    text = lambda n: " ".join(rng.choice(words[n], 60))
+    rows = [(k, text(names[0]), names[0], None) for k in range(2000)]
+    rows += [(10_000 + 100 * i + j, text(n), n, None) for i, n in enumerate(names[1:]) for j in range(4)]
+    rows += [(50_000 + i, text(n), None, None) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, address string").repartition(4)
+    got = {r["id"]: r["text_language"] for r in language_id.identified(df).collect()}
+    assert [got[50_000 + i] for i in range(len(names))] == names
+
+
 def test_no_declared_language(spark):
     df = spark.createDataFrame([(1, "some text", None, "h")], "id long, text string, declared string, address string")
     row = language_id.identified(df).first()
