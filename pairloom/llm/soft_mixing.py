@@ -9,7 +9,8 @@
    moving a row's tokens away from a rate of 1, is solved by projected gradient steps: each moves the domains' pull along
    the gradient, scaled by the Gram matrix of the rows above 0, and projects every rate to max(0, 1 + pull . posterior); a
    step that does not bring the gradient down is halved. A step needs the domain totals and that matrix, one small
-   aggregate over the staged posteriors, and rates are never written between steps.
+   aggregate over the staged posteriors, and rates are never written between steps. The penalty is lowered until every domain
+   is within MISSED of its target; if it cannot be, or the steps do not converge, a warning says so.
 3. *Copies.* A row is written floor(rate) times and once more with the remaining probability, by a hash of its doc_id.
 
 Only the feature tables (domains x BUCKETS numbers), totals and Gram matrix reach the driver or the tasks. Defined cases: a
@@ -20,6 +21,8 @@ labels there is one domain, and rates are 1; repeated rows have equal rates and
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +38,9 @@ BUCKETS = 1 << 15
 STEPS = 60
 CLOSE = 1e-6
 RIDGE = 0.005
+#: Part of its target by which a domain may be missed, and the penalty below which it is reported instead.
+MISSED = 0.01
+LEAST_RIDGE = 5e-9
 #: Domains by (quality, toxic), and the parts of all tokens they are to get.
 DOMAINS = {"good": (1, 0), "low": (0, 0), "toxic": (1, 1), "low_toxic": (0, 1)}
 TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.015, "low_toxic": 0.005}
@@ -143,11 +149,12 @@ def _rate(pull: np.ndarray) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) + change)
 
 
-def fitted_pull(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+def fitted_pull(rows: DataFrame, weights: np.ndarray, ridge: float | None = None, start: np.ndarray | None = None) -> np.ndarray:
     """The domains' pull at which the gradient of the least squares vanishes for every rate above 0."""
     size = len(weights)
     p, tokens, rate = F.col("posterior"), F.col("tokens"), F.col("rate")
-    pull, step, best = np.zeros(size), np.zeros(size), np.inf
+    part = RIDGE if ridge is None else ridge
+    pull, step, best = np.zeros(size), np.zeros(size) if start is None else start, np.inf
     for _ in range(STEPS):
         at = pull + step
         moving = F.when(rate > 0, tokens)  # rates at 0 do not answer to a small step
@@ -158,7 +165,7 @@ def fitted_pull(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
         ).first()
         if not row["all"]:
             return pull
-        ridge = RIDGE * row["all"]
+        ridge = part * row["all"]
         gradient = weights * row["all"] - np.array([row[f"t{k}"] for k in range(size)]) - ridge * at
         if np.abs(gradient).max() >= best:
             step = step / 2
@@ -168,16 +175,32 @@ def fitted_pull(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
             break
         gram = np.array([[row[f"g{i}_{j}"] or 0.0 for j in range(size)] for i in range(size)])
         step = np.linalg.solve(gram + ridge * np.eye(size), gradient)
+    else:
+        warnings.warn(f"mixing: {STEPS} steps leave a gradient of {best / row['all']:.2g} of all tokens")
     return pull
 
 
+def closest_pull(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """The pull under the largest penalty (RIDGE, or less by tens) that leaves no domain further than MISSED from its target."""
+    ridge, pull, some = RIDGE, None, weights > 0
+    while True:
+        pull = fitted_pull(rows, weights, ridge, pull)
+        miss = np.abs(ridge * pull[some]) / weights[some]  # the difference at which the gradient vanishes
+        if miss.max() <= MISSED:
+            return pull
+        if ridge <= LEAST_RIDGE:
+            warnings.warn(f"mixing: the posteriors do not reach the targets; relative miss by domain {miss.round(3).tolist()}")
+            return pull
+        ridge /= 10
+
+
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """Per row: doc_id, tokens, posterior, rate and copies, and the names of the domains in ``domains``."""
     targets = TARGETS if targets is None else targets
     rows, names = memberships(docs, labels)
     weights = np.array([max(0.0, targets.get(name, 0.0)) for name in names])
     weights = weights / weights.sum() if weights.sum() else np.full(len(names), 1 / len(names))
-    pull = fitted_pull(rows, weights) if len(names) > 1 else np.zeros(1)
+    pull = closest_pull(rows, weights) if len(names) > 1 else np.zeros(1)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
     out = rows.withColumn("rate", _rate(pull))
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long")

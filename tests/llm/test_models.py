@@ -85,6 +85,16 @@ def test_mixing_meets_targets(labelled):
     assert (abs(got["copies"] - got["rate"]) < 1).all()
 
 
+def test_mixing_meets_each_small_target(spark):
+    rng = np.random.default_rng(2)
+    p, tokens = rng.dirichlet([0.5, 0.3, 0.1, 0.05], 600), rng.integers(1, 500, 600)
+    rows = spark.createDataFrame([(k, int(t), [float(x) for x in q]) for k, (t, q) in enumerate(zip(tokens, p))], "doc_id long, tokens long, posterior array<double>")
+    weights = np.array([0.9, 0.08, 0.015, 0.005])
+    reached = lambda pull: (p * (tokens * np.maximum(0, 1 + p @ pull))[:, None]).sum(axis=0) / tokens.sum()
+    assert np.abs(reached(soft_mixing.fitted_pull(rows, weights)) / weights - 1).max() > 0.1
+    assert np.abs(reached(soft_mixing.closest_pull(rows, weights)) / weights - 1).max() < 0.011
+
+
 def test_mixing_is_the_least_squares_optimum(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
