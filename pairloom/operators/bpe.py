@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -109,27 +111,39 @@ def subword_vocabulary(spark: SparkSession, merges: DataFrame) -> DataFrame:
     return symbols.select("token", F.when(place < SENTINELS_START, place).otherwise(place + SENTINELS).alias("id"))
 
 
-def split_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Apply merges to one word, earliest learned first."""
-    while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, len(ranks)))
-        if best not in ranks:
-            break
-        out, i = [], 0
-        while i < len(symbols):
-            both = i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best
-            out.append(symbols[i] + symbols[i + 1] if both else symbols[i])
-            i += 2 if both else 1
-        symbols = out
-    return symbols
+def heap_merge(symbols: list, merges: dict) -> list:
+    """Apply merges ((left, right) -> (place, result)) to one word, earliest learned first and from left to right.
+
+    Symbols are linked, and a heap holds the pairs that can be merged, so a word of n symbols takes O(n log n).
+    """
+    n, symbols = len(symbols), list(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(merges[pair][0], i, pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in merges]
+    heapq.heapify(heap)
+    while heap:
+        _, i, (left, right) = heapq.heappop(heap)
+        j = after[i]
+        if j >= n or symbols[i] != left or symbols[j] != right:
+            continue  # one of the two has been merged since
+        symbols[i], symbols[j] = merges[left, right][1], None
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        after[j] = n
+        for k in (before[i], i):
+            if k >= 0 and after[k] < n:
+                pair = (symbols[k], symbols[after[k]])
+                if pair in merges:
+                    heapq.heappush(heap, (merges[pair][0], k, pair))
+    return [s for s in symbols if s is not None]
 
 
 def _to_subwords(batches, shared, key: str, most: int):
-    ranks, ids = shared.value
+    merges, ids = shared.value
     for batch in batches:
         column = batch.column("words")
         words = pc.list_flatten(column).dictionary_encode()
-        split = [[ids[s] for s in split_word([f"{b:02x}" for b in word.encode()], ranks)] for word in words.dictionary.to_pylist()]
+        split = [[ids[s] for s in heap_merge([f"{b:02x}" for b in word.encode()], merges)] for word in words.dictionary.to_pylist()]
         pieces = pa.array(split, pa.list_(pa.int32())).take(words.indices)
         after = np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False)))
         bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))
@@ -151,7 +165,9 @@ def encode_subwords(texts: DataFrame, merges: DataFrame, column: str, key: str,
     learned = merges.limit(VOCABULARY_BOUND + 1).collect()
     if len(learned) > VOCABULARY_BOUND:
         raise ValueError(f"at most {VOCABULARY_BOUND} merges")
-    ranks = {(m["left"], m["right"]): m["place"] for m in learned}
+    ranks: dict = {}
+    for m in sorted(learned, key=lambda m: m["place"]):
+        ranks.setdefault((m["left"], m["right"]), (m["place"], m["left"] + m["right"]))
     ids = {v["token"]: v["id"] for v in subword_vocabulary(spark, merges).collect()}
     shared = spark.sparkContext.broadcast((ranks, ids))
     kind = texts.schema[key].dataType.simpleString()

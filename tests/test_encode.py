@@ -137,3 +137,32 @@ def test_broken_bytes_are_replaced(spark):
     df = spark.createDataFrame([(1, [5 + 0xC3])], "pair_id long, ids array<int>")
     none = spark.createDataFrame([], bpe.MERGE_SCHEMA)
     assert bpe.decode_subwords(df, none, "pair_id", "ids").first()["text"] == "�"
+
+
+def test_long_words_are_merged_in_order_and_quickly():
+    def by_rescan(symbols, ranks):
+        while len(symbols) > 1:
+            best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, (len(ranks), "")))
+            if best not in ranks:
+                break
+            out, i = [], 0
+            while i < len(symbols):
+                both = i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best
+                out.append(symbols[i] + symbols[i + 1] if both else symbols[i])
+                i += 2 if both else 1
+            symbols = out
+        return symbols
+
+    import random
+    import time
+
+    rng = random.Random(3)
+    learned = [("a", "b"), ("b", "a"), ("a", "a"), ("ab", "ab"), ("aa", "aa"), ("b", "ab"), ("abab", "aa"), ("b", "b")]
+    ranks = {pair: (place, pair[0] + pair[1]) for place, pair in enumerate(learned)}
+    for size in (0, 1, 2, 3, 50, 300):
+        word = [rng.choice("abc") for _ in range(size)]
+        assert bpe.heap_merge(word, ranks) == by_rescan(word, ranks)
+    word = [rng.choice("ab") for _ in range(100_000)]
+    start = time.perf_counter()
+    assert "".join(bpe.heap_merge(word, ranks)) == "".join(word)
+    assert time.perf_counter() - start < 10
