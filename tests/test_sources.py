@@ -119,6 +119,6 @@ def test_tasks_need_no_copy_of_the_package(tmp_path):
 
     sent = tmp_path / "sent"
     sent.write_bytes(cloudpickle.dumps([bpe.heap_merge, vectors.softmax_average, SqliteReader, SqliteSource]))
-    code = "from pyspark import cloudpickle; f = cloudpickle.load(open('sent', 'rb'))[0]; print(f(['a', 'b'], {('a', 'b'): 0}))"
+    code = "from pyspark import cloudpickle; f = cloudpickle.load(open('sent', 'rb'))[0]; print(f(['a', 'b'], {('a', 'b'): (0, 'ab')}))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert done.stdout.strip() == "['ab']", done.stderr
