@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.llm import (
+    bpe_codec,
     compact_windows,
     contiguous_shards,
     decontaminate,
@@ -17,6 +19,7 @@ from pairloom.llm import (
     secret_links,
     soft_mixing,
     suffix_dedup,
+    token_alignment,
     toxicity,
 )
 from pairloom.llm.oracles import ORACLES  # noqa: F401
@@ -88,3 +91,20 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return soft_mixing.rated(jobs.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query
+def op12_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
+    done = bpe_codec.round_trip(spark, jobs.documents(spark, sf))
+    digits = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return token_alignment.aligned(spark, jobs.documents(spark, sf))
