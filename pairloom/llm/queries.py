@@ -12,6 +12,7 @@ from pairloom.llm import (
     compact_windows,
     contiguous_shards,
     decontaminate,
+    hard_negatives,
     jaccard_join,
     jobs,
     language_id,
@@ -108,3 +109,8 @@ def op12_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return token_alignment.aligned(spark, jobs.documents(spark, sf))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives.mined(spark.read.parquet(f"{sf}/embeddings.parquet"))
