@@ -40,7 +40,7 @@ from pairloom.workspace import travels_with_tasks
 
 travels_with_tasks(__name__)
 
-SEGMENTS = 1 << 18
+SEGMENTS = 1 << 19
 PAIRS = 1 << 21
 TABLE_BYTES = 96 << 20
 HELD = 1 << 20  # pairs that a task keeps before it sums them up
@@ -83,8 +83,8 @@ def _digits(limit: int) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Segments met by a task, with everything that is known of each."""
 
-    def __init__(self, v: Vocabulary, model: bytes, lookup=None):
-        self.v, self.pieces, self.lookup = v, Pieces(model), lookup
+    def __init__(self, v: Vocabulary, model: bytes, lookup=None, shown: bool = True):
+        self.v, self.pieces, self.lookup, self.shown = v, Pieces(model), lookup, shown
         self.encoder = Encoder(v, specials=False)
         self.digits, self.digit_bounds = _digits(max(v.size, len(self.pieces.bounds)))
         self._forget()
@@ -133,7 +133,9 @@ class Aligner:
         for column, (where, weight) in enumerate(((seg_a, None), (seg_b, None), (group_seg, None), (group_seg, n_a * n_b))):
             numbers[:, column] = np.bincount(where, weight, minlength=n)
         keys, times, pairs = self._pairs(n, a, b, seg_a, group_a, n_b)
-        text, sizes = self._groups(n, a, b, group_a, group_b, n_a, n_b, group_seg)
+        text, sizes = np.zeros(0, np.uint8), np.zeros(n, np.int64)
+        if self.shown:
+            text, sizes = self._groups(n, a, b, group_a, group_b, n_a, n_b, group_seg)
         return numbers, valid, keys, times, pairs, text, sizes
 
     def _words(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,11 +199,11 @@ class Aligner:
         distinct = set().union(*found)
         if len(self.known) + len(distinct) > SEGMENTS:
             self._forget()
-        missing = [s for s in distinct if s not in self.known]
+        missing = list(distinct.difference(self.known))
         if missing:
             self.learn(missing)
-        every = [s for f in found for s in f]
-        return np.fromiter(map(self.known.__getitem__, every), dtype=np.int64, count=len(every)), bounds
+        every = map(self.known.__getitem__, chain.from_iterable(found))
+        return np.fromiter(every, dtype=np.int64, count=int(bounds[-1])), bounds
 
     def whole(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Which texts have tokens: all their segments are valid."""
@@ -228,7 +230,7 @@ def _summed(found: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches, v, model):
     """Partial counts of one task: in how many of its documents each pair is linked."""
-    aligner, held, size = Aligner(v, model), [], 0
+    aligner, held, size = Aligner(v, model, shown=False), [], 0
     part = TaskContext.get().partitionId()
     for batch in batches:
         for _, texts in chunks(batch):
