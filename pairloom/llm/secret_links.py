@@ -79,7 +79,8 @@ def spans(docs: DataFrame) -> DataFrame:
     found = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("whole")).where("enough")
 
     order = Window.partitionBy(*key).orderBy("start", "kind")
-    ahead, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*key).orderBy(F.desc("start"), F.desc("kind"))  # running backwards keeps each window linear
+    ahead, behind = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (order, back))
 
     def near(role: str) -> Column:
         own = F.col("kind").isin([k for k, kind in enumerate(KINDS) if kind.role == role])

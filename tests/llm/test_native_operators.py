@@ -154,3 +154,15 @@ def test_no_python_in_the_plan(spark, docs, make):
     df = {"secrets": lambda: secret_links.scanned(docs), "shards": lambda: contiguous_shards.sharded(docs), "leaks": lambda: decontaminate.contaminated(docs, benchmark)}[make]()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_spans_in_one_text(spark):
+    """Windows over one text's spans must not be quadratic."""
+    import time
+
+    count = 60_000
+    text = " ".join(f"token=abcdef{k % 10} user=bob{k % 7}" for k in range(count // 2))
+    start = time.perf_counter()
+    row = secret_links.scanned(frame(spark, [(1, text)])).first()
+    assert row["n_assign"] == count // 2
+    assert time.perf_counter() - start < 60
