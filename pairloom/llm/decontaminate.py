@@ -10,10 +10,11 @@ All masks keep their first three tokens, so one probe for three tokens passes ov
 hashed. Items of fewer tokens than a window (but ``FEWEST`` at least) have to occur whole; shorter ones take no part.
 
 The benchmark's seeds are broadcast only when it has at most ``BROADCAST_TOKENS`` tokens, which is counted first; a larger
-one is joined by shuffle. Documents' tokens stay in their rows, and only verified hits are shuffled, after a partial
-aggregation by document.
+one is joined by shuffle on keys alone. Positions travel in blocks of ``BLOCK`` with the tokens near them, so neither a very long
+text nor a large benchmark multiplies whole texts; verified hits are shuffled after a partial aggregation by document.
 
-Defined cases: null and empty texts and items contain nothing; rows are told apart by doc_id and text, so equal rows agree
+Defined cases: null and empty texts and items contain nothing; an item with a null item_id is found like others and counts in
+n_hits, while ``items`` lists the ids that there are; rows are told apart by doc_id and text, so equal rows agree
 and a null doc_id is a value like others; an empty benchmark contaminates nothing. Other columns are ignored.
 """
 
@@ -27,6 +28,7 @@ from pairloom.llm import jobs
 WINDOW = 12
 SUBSTITUTED = 2
 FEWEST = 5
+BLOCK = 64  # positions whose tokens travel together
 #: Token places that a mask keeps; a fixed design, see above.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 6, 7, 8), (0, 1, 2, 9, 10, 11))
 LEAD = 3
@@ -51,9 +53,28 @@ def _seeds(tokenized: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     return tokenized.withColumn("key", F.explode(keys))
 
 
-def _positions(tokenized: DataFrame) -> DataFrame:
-    last = F.size("tokens") - FEWEST
-    return tokenized.where(last >= 0).withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+def _blocks(tokenized: DataFrame) -> DataFrame:
+    """BLOCK consecutive positions each (``first`` .. ``last`` of the block's own tokens), with the tokens that windows around them reach.
+
+    So a position carries the tokens near it, never the whole text.
+    """
+    numbers = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / BLOCK).cast("int"))
+
+    def block(b: Column) -> Column:
+        start = F.greatest(b * BLOCK - (WINDOW - 1), F.lit(0))
+        return F.struct(
+            start.alias("base"),
+            (b * BLOCK - start).alias("first"),
+            F.slice("tokens", start + 1, b * BLOCK - start + BLOCK + WINDOW - 1).alias("tokens"),
+        )
+
+    cut = tokenized.where(F.size("tokens") > 0).withColumn("block", F.explode(F.transform(numbers, block)))
+    return cut.select(*(c for c in tokenized.columns if c != "tokens"), "block.*")
+
+
+def _positions(blocks: DataFrame, fewest: int) -> DataFrame:
+    last = F.least(F.col("first") + BLOCK, F.size("tokens") - fewest + 1) - 1
+    return blocks.where(last >= F.col("first")).withColumn("at", F.explode(F.sequence(F.col("first"), last)))
 
 
 def _verified() -> Column:
@@ -76,20 +97,31 @@ def _verified() -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, mark, n_hits, items) of the contaminated documents; ``mark`` tells texts of one doc_id apart."""
     benchmark = jobs.with_columns(benchmark, item_id="long", text="string")
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= FEWEST)
-    items = jobs.staged(items.distinct(), "benchmark-tokens")
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= FEWEST).distinct()
+    # A number of its own stands for an item, so that a null item_id is found like any other.
+    items = jobs.staged(items.withColumn("item_no", F.monotonically_increasing_id()), "benchmark-tokens")
     total, shorts = items.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)), F.collect_set(F.when(F.size("tokens") < WINDOW, F.size("tokens")))).first()
-    small = (lambda df: F.broadcast(df)) if total <= BROADCAST_TOKENS else (lambda df: df)
+    few = total <= BROADCAST_TOKENS
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     masks = [*MASKS, *(tuple(range(n)) for n in sorted(shorts))]  # whole short items, of WINDOW - FEWEST lengths at most
+    lead = _key(tuple(range(LEAD)), -1).alias("lead")
 
-    seeds = _seeds(_positions(items), masks).select("key", "item_id", F.col("at").alias("place")).distinct()
-    leads = _positions(items).select(_key(tuple(range(LEAD)), -1).alias("lead")).distinct()
+    item_positions = _positions(_blocks(items), FEWEST)
+    seeds = _seeds(item_positions, masks).select("key", "item_no", (F.col("base") + F.col("at")).alias("place")).distinct()
+    leads = item_positions.select(lead).distinct()
 
     docs = jobs.with_columns(docs, doc_id="long", text="string").where("text IS NOT NULL")
     docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), tokens(F.col("text")).alias("tokens"))
-    at = _positions(docs).withColumn("lead", _key(tuple(range(LEAD)), -1)).join(small(leads), "lead").drop("lead")
+    blocks = _blocks(docs)
+    if few:
+        at = _positions(blocks, FEWEST).withColumn("lead", lead).join(small(leads), "lead").drop("lead")
+    else:  # only keys are shuffled; the tokens come back for the positions that may hit
+        probes = _positions(blocks, FEWEST).select(F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), F.col("base").alias("p_base"), "at", lead)
+        probes = probes.join(leads, "lead", "left_semi").drop("lead").distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("mark") == F.col("p_mark")) & (F.col("base") == F.col("p_base"))
+        at = blocks.join(probes, same).drop("p_id", "p_mark", "p_base")
     hits = _seeds(at, masks).join(small(seeds), "key")
-    hits = hits.join(small(items.select("item_id", F.col("tokens").alias("item"))), "item_id").where(_verified())
+    hits = hits.join(small(items.select("item_no", "item_id", F.col("tokens").alias("item"))), "item_no").where(_verified())
     return hits.groupBy("doc_id", "mark").agg(F.count("*").alias("n_hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
 

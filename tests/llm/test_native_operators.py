@@ -166,3 +166,18 @@ def test_many_spans_in_one_text(spark):
     row = secret_links.scanned(frame(spark, [(1, text)])).first()
     assert row["n_assign"] == count // 2
     assert time.perf_counter() - start < 60
+
+
+def test_very_long_text_full_of_probes(spark):
+    """A text of a million tokens, most of which begin like the benchmark: positions must not carry the whole text."""
+    item = "alpha beta gamma " + " ".join(f"i{k}" for k in range(20))
+    text = " ".join(f"alpha beta gamma x{k} y{k}" for k in range(200_000))
+    docs = frame(spark, [(1, text), (2, text + " " + item), (3, "none of it")])
+    for bound in (decontaminate.BROADCAST_TOKENS, 0):
+        items = frame(spark, [(None, item), (8, "delta " * 30)], "item_id long, text string")
+        saved, decontaminate.BROADCAST_TOKENS = decontaminate.BROADCAST_TOKENS, bound
+        try:
+            found = decontaminate.contaminated(docs, items).collect()
+        finally:
+            decontaminate.BROADCAST_TOKENS = saved
+        assert [(r["doc_id"], r["n_hits"] > 0, r["items"]) for r in found] == [(2, True, [])]
