@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.sequences import truncate
 from pairloom.operators.encode import decode_text
-from pairloom.settings import MASK, SENTINELS, SENTINELS_START, VOCABULARY_BOUND
+from pairloom.settings import MASK, SENTINELS, SENTINELS_START, VOCABULARY_BOUND, VOCABULARY_SIZE
 from pairloom.workspace import stage, travels_with_tasks
 
 travels_with_tasks(__name__)
@@ -55,48 +55,86 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pairs.filter(F.col("right").isNotNull()).groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def independent_merges(top: list) -> list:
+def independent_merges(top: list, look: int, symbols: set[str]) -> list:
     """The leading pairs that can be merged in one round with the same result as one at a time.
 
-    A pair may join the round while it shares no symbol with the pairs before it and still counts more than every
-    pair that does share one: only such pairs change, and what they turn into counts no more than they did.
+    ``top`` holds the ``look`` first pairs by count, left and right (fewer if there are no more), ``symbols`` all merged
+    symbols so far. Two pairs touch only where the right symbol of one is the left symbol of the other: equal left or
+    equal right symbols never share an occurrence. So
+
+    * the round ends before the first pair that touches a taken one, whose count may fall;
+    * new pairs come from touching pairs only, so none counts more than the first of these. A taken pair with just that
+      count stays if all new pairs sort behind it: those with a new right symbol always do, those with a new left
+      symbol do if that symbol does;
+    * a pair of equal symbols, and one whose result is a symbol already, change more than that and end a round.
     """
-    taken, used = [], set()
-    for i, pair in enumerate(top):
-        if {pair["left"], pair["right"]} & used:
-            clash = pair["n"]
-            return [t for t in taken[:1]] + [t for t in taken[1:] if t["n"] > clash]
+    taken, lefts, rights, results = [], set(), set(), set()
+    barrier = top[-1]["n"] if len(top) == look else 0
+    for place, pair in enumerate(top):
+        if pair["right"] in lefts or pair["left"] in rights:
+            barrier = pair["n"]
+            break
         taken.append(pair)
-        used |= {pair["left"], pair["right"]}
-    # The list may end before the first clash: keep those that count more than anything beyond it could.
-    return taken[:1] + [t for t in taken[1:] if t["n"] > top[-1]["n"]]
+        lefts.add(pair["left"])
+        rights.add(pair["right"])
+        result = pair["left"] + pair["right"]
+        if pair["left"] == pair["right"] or result in symbols or result in results:
+            barrier = top[place + 1]["n"] if place + 1 < len(top) else barrier
+            break
+        results.add(result)
+    kept = taken[:1]
+    for pair in taken[1:]:
+        first = min(t["left"] + t["right"] for t in kept)
+        if pair["n"] < barrier or (pair["n"] == barrier and first <= pair["left"]):
+            break
+        kept.append(pair)
+    return kept
 
 
-def merged(word: Column, pair) -> Column:
-    return F.regexp_replace(
-        word, f"(?<![^ ]){pair['left']} {pair['right']}(?![^ ])", pair["left"] + pair["right"]
-    )
+def merge_once(symbols: list[str], pairs: set[tuple[str, str]]) -> list[str]:
+    """Merge pairs that do not touch each other, from left to right."""
+    if pairs.isdisjoint(zip(symbols, symbols[1:])):
+        return symbols
+    out, i = [], 0
+    while i < len(symbols):
+        both = i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) in pairs
+        out.append(symbols[i] + symbols[i + 1] if both else symbols[i])
+        i += 2 if both else 1
+    return out
+
+
+def _merged(batches, rounds: list[set[tuple[str, str]]]):
+    for batch in batches:
+        words = [w.split(" ") for w in batch.column("word").to_pylist()]
+        for pairs in rounds:
+            words = [merge_once(w, pairs) for w in words]
+        yield pa.RecordBatch.from_pydict({"word": pa.array([" ".join(w) for w in words], pa.string()), "n": batch.column("n")})
 
 
-def learn_merges(texts: DataFrame, column: str, merges: int, min_count: int = 1, look: int = 64) -> DataFrame:
+def learn_merges(texts: DataFrame, column: str, merges: int = VOCABULARY_SIZE, min_count: int = 1, look: int = 512, rewrite: int = 8) -> DataFrame:
     """The first ``merges`` merges as ``(place, left, right, n)``: most frequent pair first, then by left and right.
 
-    Works on distinct words with counts. A round merges all leading pairs that do not touch each other, which gives
-    the same list as one merge per round. Every few rounds the words are written to the shared folder.
+    Works on distinct words with counts, until there is no pair left. A round is one job: it applies the merges learned since
+    the words were last written, counts pairs and returns the ``look`` first ones; all leading pairs that cannot change each
+    other are merged together, which gives the same list as one merge per round. Every ``rewrite`` rounds the words are
+    written to the shared folder. At most ``merges`` rows and ``look`` pairs are on the driver.
     """
     spark = texts.sparkSession
     words = stage(word_counts(texts, column, min_count), "words")
-    learned, since = [], 0
+    learned, rounds, symbols = [], [], set()
     while len(learned) < merges:
-        top = pair_counts(words).orderBy(F.desc("n"), "left", "right").limit(look).collect()  # at most ``look`` rows
+        now = words.mapInArrow(lambda batches, rounds=tuple(rounds): _merged(batches, rounds), "word string, n bigint") if rounds else words
+        if len(rounds) >= rewrite:
+            now = words = stage(now, "words")
+            rounds = []
+        top = pair_counts(now).orderBy(F.desc("n"), "left", "right").limit(look).collect()  # at most ``look`` rows
         if not top:
             break
-        for pair in independent_merges(top)[: merges - len(learned)]:
+        chosen = independent_merges(top, look, symbols)[: merges - len(learned)]
+        for pair in chosen:
             learned.append((len(learned), pair["left"], pair["right"], pair["n"]))
-            words = words.withColumn("word", merged(F.col("word"), pair))
-            since += 1
-        if since >= 10 and len(learned) < merges:
-            words, since = stage(words, "words"), 0
+        symbols.update(pair["left"] + pair["right"] for pair in chosen)
+        rounds.append({(pair["left"], pair["right"]) for pair in chosen})
     return spark.createDataFrame(learned, MERGE_SCHEMA)
 
 

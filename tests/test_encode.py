@@ -1,3 +1,5 @@
+import collections
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -166,3 +168,19 @@ def test_long_words_are_merged_in_order_and_quickly():
     start = time.perf_counter()
     assert "".join(bpe.heap_merge(word, ranks)) == "".join(word)
     assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize("look", [5, 512])
+def test_rounds_of_merges_equal_single_merges_to_the_end(spark, look):
+    """Ties, repeated symbols and symbols that arise in two ways, until no pair is left."""
+    import random
+
+    rng = random.Random(look)
+    counts = collections.Counter()
+    for _ in range(40):
+        counts["".join(rng.choice("aabc") for _ in range(rng.randrange(1, 9)))] += rng.choice([1, 1, 2, 5])
+    rows = [(k, " ".join([w] * 1)) for k, (w, n) in enumerate(counts.items()) for _ in range(n)]
+    df = spark.createDataFrame(rows, "pair_id bigint, code string").repartition(3)
+    got = bpe.learn_merges(df, "code", 10_000, look=look).orderBy("place").collect()
+    want = naive_merges(counts, 10_000)
+    assert [(r["left"], r["right"], r["n"]) for r in got] == want
