@@ -218,17 +218,19 @@ class Encoder:
                     yield some
 
     def learn(self, words: set) -> None:
-        if len(self.known) + len(words) > WORDS:
+        missing = list(words.difference(self.known))
+        if missing and len(self.known) + len(missing) > WORDS:
             self._forget()
-        missing = [w for w in words if w not in self.known]
+            missing = [w for w in words if w not in self.known]
         if not missing:
             return
-        coded = [w.encode() for w in missing]
-        long = [k for k, w in enumerate(coded) if len(w) > LONG]
+        coded = list(map(str.encode, missing))
+        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        long = np.flatnonzero(size > LONG).tolist()
         apart = {k: heap_merge([int(self.v.first[b]) for b in coded[k]], self.v.heap()) for k in long}
         for k in long:
             coded[k] = b""
-        size = np.array([len(w) for w in coded], dtype=np.int64)
+        size[long] = 0
         flat, count = merge_rounds(self.v, np.frombuffer(b"".join(coded), dtype=np.uint8), size)
         if apart:
             ends = np.cumsum(count)
@@ -240,9 +242,7 @@ class Encoder:
 
     def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words and how many each has."""
-        distinct = set(words)
-        if not distinct <= self.known.keys():
-            self.learn(distinct)
+        self.learn(set(words))
         at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         size = self.bounds[at + 1] - self.bounds[at]
         return self.flat[packed.ranges(self.bounds[at], size)], size

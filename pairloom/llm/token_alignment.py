@@ -69,8 +69,9 @@ class Pieces:
     def ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of segments, each of which begins with the blank that the model would put before it."""
         found = self.model.encode([s[1:] for s in segments], num_threads=1)
-        found = [[self.blank] if s == " " else f for s, f in zip(segments, found)]
-        size = np.array([len(f) for f in found], dtype=np.int64)
+        if " " in segments:
+            found[segments.index(" ")] = [self.blank]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.array(list(chain.from_iterable(found)), dtype=np.int64), size
 
 
@@ -109,8 +110,8 @@ class Aligner:
 
     def _aligned(self, segments: list[str]):
         n, p, v = len(segments), self.pieces, self.v
-        coded = [s.encode() for s in segments]
-        length = np.array([len(c) for c in coded], dtype=np.int64)
+        coded = list(map(str.encode, segments))
+        length = np.fromiter(map(len, coded), dtype=np.int64, count=n)
         data = np.frombuffer(b"".join(coded), dtype=np.uint8)
         (a, size_a), (b, size_b) = self._words(segments), p.ids(segments)
         a, seg_a, seg_b = a.astype(np.int64), np.repeat(np.arange(n), size_a), np.repeat(np.arange(n), size_b)
@@ -146,7 +147,7 @@ class Aligner:
         some = segments if plain.all() else [s for s, told in zip(segments, plain.tolist()) if told]
         words = self.encoder.plain.findall("".join(some))
         flat, size = self.encoder.ids(words)
-        ends = np.searchsorted(np.cumsum(list(map(len, words))), np.cumsum([len(s) for s in some]), side="right")
+        ends = np.searchsorted(np.cumsum(list(map(len, words))), np.cumsum(list(map(len, some))), side="right")
         counts = np.diff(np.append(0, np.append(0, np.cumsum(size))[ends])) if some else np.zeros(0, np.int64)
         if plain.all():
             return flat, counts
@@ -197,9 +198,10 @@ class Aligner:
         found = [SEGMENT.findall(" " + t) if t else [] for t in texts]
         bounds = np.append(0, np.cumsum([len(f) for f in found]))
         distinct = set().union(*found)
-        if len(self.known) + len(distinct) > SEGMENTS:
-            self._forget()
         missing = list(distinct.difference(self.known))
+        if missing and len(self.known) + len(missing) > SEGMENTS:
+            self._forget()
+            missing = list(distinct)
         if missing:
             self.learn(missing)
         every = map(self.known.__getitem__, chain.from_iterable(found))
