@@ -23,8 +23,6 @@ SEED = 2050
 
 # Vocabulary and sequence sizes.
 VOCABULARY_SIZE = 52000
-ANSWER_LENGTH, COMPARED_LENGTH = 20, 8  # tokens that the decoding queries ask for; the decoders take any number
-MERGES = 60  # how many the queries learn; learn_merges takes any number
 CHUNK_ROWS = 1000
 SEQUENCE_LENGTH = 512
 PROMPT_LENGTH = 100
@@ -41,6 +39,10 @@ POSITIONS = 562
 TIER_GOOD, TIER_FAIR = 0.2, 0.5
 TEMPERATURE = 0.7
 
+# No fixed values: how many tokens and merges the queries ask for. The operators take any number.
+ANSWER_LENGTH, COMPARED_LENGTH = 20, 8
+MERGES = 60
+
 # Largest vocabulary an operator will broadcast: learned entries plus all reserved ones.
 VOCABULARY_BOUND = VOCABULARY_SIZE + len(MARKS) + SENTINELS
 
