@@ -1,20 +1,23 @@
 """Toxicity scores from class-conditional Kneser-Ney models with shared backoff counts.
 
-Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary labelled documents, back off to unigram models,
-and these to one shared distribution: in how many documents of the whole corpus a word occurs. The classes' counts are of
-documents, too, so a word that one document repeats counts once. An expression in fewer than ``LEAST`` labelled documents is
-as likely under both classes as the corpus and its stem make it: what is left for the shared counts is weighted by how much a
-class prefers words with the same first ``STEM`` bytes. Near copies among the labelled documents
+Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary labelled documents. A bigram counts the documents
+of a class that hold it, so what one document repeats counts once. The lower order is a continuation count: after how many
+different words a word occurs in the class. Every count is discounted by ``DISCOUNT`` or by itself, if it is smaller, and what
+the discounts take goes to the next order; the last one is shared by both classes, in how many documents of the whole
+corpus a word occurs. An expression that is rare in the labels is therefore smoothed by the shared counts, weighted by how much
+a class prefers words with the same first ``STEM`` bytes. A word that no labelled document holds has the same shared
+count under both classes, which leaves their ratio, so the corpus counts are taken of the words of the labelled documents.
+Near copies among the labelled documents
 (one of ``MARKS`` min-hashes in common) count once, or a family of copies would make all its words telling.
 
 A document is compared by two length-normalised log-likelihood ratios, toxic against ordinary: the mean over all its words,
-and the best mean over ``SPAN`` consecutive words, in which a short toxic passage of a long text stands out. A logistic
+and the best mean over ``SPAN`` consecutive words (the best single word), by which a short toxic passage of a long text stands out. A logistic
 curve fitted on labelled documents that the counts have not seen turns them, and the logarithm of the number of words
 (among many the best one is better by chance), into a score from 0 to 1.
 
 Labels are read only of rows whose crc32(doc_id as text) mod 4 is not 2 (``held_out``): remainders 0 and 1 give the counts,
-3 the curve. At most about ``LABELLED`` rows are learned from, chosen by a hash of doc_id, and at most ``ENTRIES`` n-grams
-are kept, the most frequent; that bounds what is sent to the tasks. The shared counts cover all documents, and every whole
+3 the curve. At most about ``LABELLED`` rows and ``LABELLED_BYTES`` of text are learned from, chosen by a hash of doc_id; that
+bounds the model that is sent to the tasks. No n-gram of them is cut. The shared counts cover all documents, and every whole
 text is scored. Counting and scoring are distributed and per-batch sums are combined before they are shuffled.
 
 Defined cases: null, empty and blank texts score as many parts as the curve's rows are toxic; a doc_id that is null is not
@@ -35,9 +38,11 @@ from pairloom.workspace import travels_with_tasks
 travels_with_tasks(__name__)
 
 LABELLED = 24_000
-ENTRIES = 1_000_000
-#: Labelled documents that must hold an n-gram; rarer ones are left to the shared counts.
-LEAST = 4
+#: Bytes of text in the labelled documents that are learned from, about; this bounds the n-grams of the model.
+LABELLED_BYTES = 32 << 20
+#: What every count of a class gives to the lower order, at most: more than the usual share of 1, as an expression in three
+#: documents or fewer says little about a class.
+DISCOUNT = 3
 SPAN = 1
 #: Text bytes whose counts are summed before the shuffle.
 GROUP_BYTES = 4 << 20
@@ -79,13 +84,13 @@ def _gather(before: np.ndarray, word: np.ndarray, *values: np.ndarray) -> tuple[
 
 
 def _count(batches):
-    """In how many labelled documents of each class an n-gram occurs; unigrams have -1 as the word before, stems -2."""
+    """In how many labelled documents of each class a bigram occurs, and a stem, which has -2 as the word before."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
         befores, words, classes, size = [], [], [], 0
         for piece in packed.pieces(batch):
             row, before, word, stem = _bigrams(piece)
-            for given, what in ((before, word), (np.full(len(word), -1), word), (np.full(len(word), -2), stem)):
+            for given, what in ((before, word), (np.full(len(word), -2), stem)):
                 order = np.lexsort((what, given, row))
                 a, b, c = row[order], given[order], what[order]
                 new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])) if len(a) else np.zeros(0, bool)
@@ -153,22 +158,23 @@ class Model:
             keys, of = counts["word"][mine], sums[given]
             total = np.maximum(of["total"], 1)[:, None]
             count = np.stack([counts[c][mine] for c in CLASSES])
-            weight = np.clip(of["discount"] * of["types"] / total[:, 0], 1e-3, 1)[:, None]
+            weight = np.clip(of["left"] / total[:, 0], 1e-3, 1)[:, None]
             met, documents, all_of_them = shared[given]
             floor = 1.0 / (all_of_them + 1.0)
             place, known = _find(met, keys)
             common = (np.where(known, documents[place] if len(documents) else 0, 0) + 1.0) * floor
-            return mine, keys, np.maximum(count - of["discount"][:, None], 0) / total, weight, common, floor
+            return mine, keys, np.maximum(count - DISCOUNT, 0) / total, weight, common, floor
 
         _, self.stems, high, weight, common, _ = level(-2)
         self.lean = np.clip(high / common + weight, 0.02, 50.0)  # how much a class prefers a stem to the whole corpus
-        self.plain = weight
+        self.plain = np.clip(weight, 0.02, 50.0)
         mine, self.words, self.high, weight, self.common, self.floor = level(-1)
         self.weight = weight
-        count = np.stack([counts[c][mine] for c in CLASSES]).astype(float)
-        follow = np.stack([counts[f"follow_{c}"][mine] for c in CLASSES])
-        discount = sums[0]["discount"][:, None]
-        self.back = np.where(count > 0, np.clip(discount * follow / np.maximum(count, 1), 1e-3, 1), 1.0)  # what a word before leaves
+        heads = np.stack([counts[f"heads_{c}"][mine] for c in CLASSES]).astype(float)
+        left = np.stack([counts[f"left_{c}"][mine] for c in CLASSES])
+        starts, starts_left = sums[0]["starts"][:, None], sums[0]["starts_left"][:, None]
+        self.back = np.where(heads > 0, left / np.maximum(heads, 1), 1.0)  # what the discounts of a context leave to the lower order
+        self.start_back = np.where(starts > 0, starts_left / np.maximum(starts, 1), 1.0)
 
         pair = np.flatnonzero((counts["before"] != -1) & (counts["before"] != -2))
         before = counts["before"][pair]
@@ -176,9 +182,9 @@ class Model:
         order = np.argsort(keys)
         pair, before, self.pairs = pair[order], before[order], keys[order]
         context, known = _find(self.words, before)
-        heads = np.where(known, count[:, context] if count.size else 0, sums[0]["starts"][:, None])
+        heads = np.where(before == 0, starts, np.where(known, heads[:, context] if heads.size else 0, 0))
         joint = np.stack([counts[c][pair] for c in CLASSES]).astype(float)
-        self.joint = np.maximum(joint - discount, 0) / np.maximum(heads, 1)
+        self.joint = np.maximum(joint - DISCOUNT, 0) / np.maximum(heads, 1)
 
     @classmethod
     def of(cls, state: dict) -> Model:
@@ -196,7 +202,7 @@ class Model:
         if len(self.words):
             low = low + np.where(known, self.high[:, place], 0.0)
             context, heard = np.append(place[-1:], place[:-1]), np.append(known[-1:], known[:-1])  # the word before is the one looked up before
-            back = np.where(heard & (before != 0), self.back[:, context], 1.0)
+            back = np.where(before == 0, self.start_back, np.where(heard, self.back[:, context], 1.0))
         else:
             back = 1.0
         pair, met = _find(self.pairs, packed.mix(packed.mix(before.view(np.uint64)) + word.view(np.uint64)))
@@ -256,8 +262,10 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple | None:
     """Model, as a broadcast of its arrays, curve, and the part of toxic rows it was fitted on; None if the labels that may be used do not show both classes."""
     labels = jobs.with_columns(labels, doc_id="long", toxic="int").where("toxic IN (0, 1)").where(fold(F.col("doc_id")) != HELD_OUT)
     labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
-    size = labels.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int(min(1.0, LABELLED / max(1, size)) * (1 << 20))
+    sizes = docs.where(F.col("text").isNotNull()).select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(labels, "doc_id")
+    rows, size = sizes.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    part = min(1.0, LABELLED / max(1, rows), LABELLED_BYTES / max(1, size))
+    share = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int(part * (1 << 20))
     sample = jobs.staged(docs.where(share & F.col("text").isNotNull()).join(labels.where(share), "doc_id"), "toxicity-sample")
     marks = jobs.staged(sample.mapInArrow(_marks, "doc_id long, marks array<long>"), "toxicity-marks")
     for k in range(MARKS):  # of rows that share a min-hash only the first is learned from
@@ -267,25 +275,28 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple | None:
 
     counts = sample.where(fold(F.col("doc_id")) != CURVE).mapInArrow(_count, COUNTS)
     counts = jobs.staged(counts.groupBy("before", "word").agg(*(F.sum(c).alias(c) for c in CLASSES)), "toxicity-counts")
+    types = [F.count(F.when(F.col(c) > 0, 1)) for c in CLASSES]
+    after = counts.where("before <> -2").groupBy("word").agg(*(n.alias(c) for n, c in zip(types, CLASSES)))
+    counts = counts.unionByName(after.withColumn("before", F.lit(-1).cast("long")))  # Kneser-Ney: how many words it follows
     kind = F.when(F.col("before").isin(-1, -2), F.col("before")).otherwise(0)
-    once = lambda c, n: F.count(F.when(F.col(c) == n, 1))
+    left = lambda c: F.sum(F.least(F.col(c), F.lit(DISCOUNT)))
+    start = F.when(F.col("before") == 0, 1).otherwise(0)
     rows = counts.groupBy(kind.alias("kind")).agg(
-        *(F.sum(c).alias(c) for c in CLASSES),
-        *(once(c, n).alias(f"{c}_{n}") for c in CLASSES for n in (1, 2)),
-        *(F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_types") for c in CLASSES),
-        *(F.sum(F.when(F.col("before") == 0, F.col(c)).otherwise(0)).alias(f"{c}_starts") for c in CLASSES),
+        *(F.sum(c).alias(f"{c}_total") for c in CLASSES),
+        *(left(c).alias(f"{c}_left") for c in CLASSES),
+        *(F.sum(start * F.col(c)).alias(f"{c}_starts") for c in CLASSES),
+        *(F.sum(start * F.least(F.col(c), F.lit(DISCOUNT))).alias(f"{c}_starts_left") for c in CLASSES),
     )
-    sums = {}
-    for r in rows.collect():
-        discount = [r[f"{c}_1"] / max(1, r[f"{c}_1"] + 2 * r[f"{c}_2"]) for c in CLASSES]
-        sums[r["kind"]] = {"discount": np.clip(discount, 0.1, 0.95)} | {
-            name: np.array([r[c + tail] for c in CLASSES], dtype=float) for name, tail in (("total", ""), ("types", "_types"), ("starts", "_starts"))
-        }
+    names = ("total", "left", "starts", "starts_left")
+    sums = {r["kind"]: {name: np.array([r[f"{c}_{name}"] for c in CLASSES], dtype=float) for name in names} for r in rows.collect()}
     if not sums or not sums[-1]["total"].all():
         return None
-    follow = counts.where(kind == 0).groupBy(F.col("before").alias("word")).agg(*(F.count(F.when(F.col(c) > 0, 1)).alias(f"follow_{c}") for c in CLASSES))
-    kept = counts.where(F.col("toxic") + F.col("ordinary") >= LEAST).orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "before", "word").limit(ENTRIES)
-    kept = kept.join(follow, "word", "left").fillna(0).toArrow()
+    found = [f(c).alias(f"{name}_{c}") for name, f in (("heads", F.sum), ("left", left)) for c in CLASSES]
+    heads = counts.where(kind == 0).groupBy(F.col("before").alias("word")).agg(*found)
+    unigrams = counts.where("before = -1").join(heads, "word", "left").fillna(0)
+    told = F.greatest(*CLASSES) > DISCOUNT  # of other n-grams nothing but what they leave to the lower order is in the model
+    others = counts.where((F.col("before") != -1) & told).select("*", *(F.lit(0).cast("long").alias(f"{a}_{c}") for a in ("heads", "left") for c in CLASSES))
+    kept = unigrams.unionByName(others).orderBy("before", "word").toArrow()
     entries = {c: kept.column(c).to_numpy().astype(np.int64) for c in kept.column_names}
 
     known = docs.sparkSession.sparkContext.broadcast({given: np.sort(entries["word"][entries["before"] == given]) for given in (-1, -2)})

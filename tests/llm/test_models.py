@@ -1,5 +1,10 @@
 """Toxicity, language identification and mixing: behaviour on made-up corpora with known answers, and odd rows."""
 
+import math
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +55,60 @@ def test_toxicity_on_held_out_rows(labelled):
     assert len({r["score"] for r in got if r["doc_id"] == 7}) == 1
 
 
+def plain_ratios(rows, labels):
+    """doc_id to the log ratios of its words, from counts in dictionaries, as the docstring of the operator defines them."""
+    words = {k: (t or "").lower().split() for k, t in rows}
+    pairs = {k: list(zip(["", *w], w)) for k, w in words.items()}
+    learned = [k for k in words if k in labels and zlib.crc32(str(k).encode()) % 4 < 2]
+    stems = {k: {w[: toxicity.STEM] for w in words[k]} for k in words}
+
+    def level(counts, spread):
+        """Discounted parts, what is left for the next order, and the shared part of each entry."""
+        total, docs = max(1, sum(counts.values())), Counter(x for k in words for x in spread[k])
+        left = sum(min(n, toxicity.DISCOUNT) for n in counts.values()) / total
+        every = sum(docs.values())
+        return lambda x: max(counts[x] - toxicity.DISCOUNT, 0) / total, min(1, max(left, 1e-3)), lambda x: (docs[x] + 1) / (every + 1)
+
+    def model(kind):
+        mine = [k for k in learned if labels[k] == kind]
+        joint = Counter(p for k in mine for p in set(pairs[k]))
+        after = Counter(w for _, w in joint)
+        stem_high, stem_left, stem_shared = level(Counter(x for k in mine for x in stems[k]), stems)
+        high, left, shared = level(after, {k: set(words[k]) for k in words})
+        heads, given = Counter(), Counter()
+        for (before, _), n in joint.items():
+            heads[before] += n
+            given[before] += min(n, toxicity.DISCOUNT)
+
+        def p(before, word):
+            stem = word[: toxicity.STEM]
+            lean = min(50, max(0.02, stem_high(stem) / stem_shared(stem) + stem_left))
+            back = given[before] / heads[before] if heads[before] else 1
+            own = max(joint[before, word] - toxicity.DISCOUNT, 0) / max(1, heads[before])
+            return own + back * (high(word) + left * shared(word) * lean)
+
+        return p
+
+    toxic, ordinary = model(1), model(0)
+    return {k: [math.log(toxic(*x)) - math.log(ordinary(*x)) for x in pairs[k]] for k in words}
+
+
+def test_toxicity_models_equal_plain_counting(spark):
+    draw = random.Random(5)
+    pool = [f"{a}{b}" for a in ("insult", "stone", "river", "glass") for b in "abcdef"]
+    rows, labels = [], {}
+    for k in range(400):
+        labels[k] = int(draw.random() < 0.4)
+        weights = [3 if (w[0] == "i") == bool(labels[k]) else 1 for w in pool]
+        rows.append((k, " ".join(draw.choices(pool, weights, k=draw.randint(1, 4)))))  # too short to count as copies
+    rows += [(400, None), (401, ""), (402, " \t"), (403, "Insulta INSULTA unheard of"), (404, " ".join(draw.choices(pool, k=3000)))]
+    docs = frame(spark, rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, frame(spark, list(labels.items()), "doc_id long, toxic int")).collect()}
+    for k, ratios in plain_ratios(rows, labels).items():
+        assert got[k]["mean"] == pytest.approx(sum(ratios) / len(ratios) if ratios else 0, abs=1e-9)
+        assert got[k]["best"] == pytest.approx(max(ratios, default=0), abs=1e-9)
+
+
 def test_toxicity_never_reads_held_out_labels(labelled):
     docs, labels, _ = labelled
     held = toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT
