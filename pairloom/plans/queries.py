@@ -493,7 +493,7 @@ def align_em(spark, sf):
 def align_weights(spark, sf):
     train = _train(_corpus(spark, sf))
     model = align.fit_alignment(train, 1)[-1]
-    weights = align.align_weights(align.cooccurrences(train), model)
+    weights = align.align_weights(train, model)
     return weights.select("pair_id", long("s"), long("w"), six("weight"))
 
 
