@@ -53,35 +53,34 @@ def rank_by_hash(rows: DataFrame, key: str, tie: str, groups: list[str] = [], gr
     return _with_ranks(rows.withColumn("bucket", F.substring(key, 1, digits)), [key, tie], groups)
 
 
-def quantile_bounds(rows: DataFrame, column: str, rows_per_bucket: int = 1_000_000, cells: int = 8192) -> list[int]:
-    """Values that cut the whole numbers of ``column`` into ranges of about ``rows_per_bucket`` rows (8 ranges at least).
-
-    Rows are counted in cells of equal width, combined within each task, and cells that hold too many are counted again
-    in finer ones. At most ``cells`` counts of a pass reach the driver.
+def even_bounds(
+    ends: tuple[int, int, int],
+    counted: Callable[[list[tuple[int, int, int]]], list[tuple[int, int]]],
+    rows_per_bucket: int = 1_000_000,
+    cells: int = 8192,
+) -> list[int]:
+    """Whole numbers that cut ``ends = (least, largest, how many)`` into ranges of about ``rows_per_bucket`` (8 at least).
+
+    ``counted`` gives (start, rows) of the cells of the given ranges (low, high, width of a cell). Cells that hold too
+    many rows are counted again in finer ones. A pass asks for at most ``cells`` counts.
     """
-    ends = rows.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
-    if not ends["n"]:
+    low, high, n = ends
+    if not n:
         return []
-    target = max(1, min(rows_per_bucket, ends["n"] // 8))
-    todo, sizes = [(ends["low"], ends["high"])], []
+    target = max(1, min(rows_per_bucket, n // 8))
+    todo, sizes = [(low, high)], []
     while todo:
         share = max(2, cells // len(todo))
-        cell = F.lit(None).cast("bigint")
-        for low, high in todo:
-            width = (high - low) // share + 1
-            own = F.expr(f"{low}L + ((`{column}` - {low}L) div {width}L) * {width}L")
-            cell = F.when(F.col(column).between(low, high), own).otherwise(cell)
-        counted = rows.groupBy(cell.alias("cell")).count().filter(F.col("cell").isNotNull()).collect()
-        again = []
-        for low, high in todo:
-            width = (high - low) // share + 1
-            for row in counted:
-                if low <= row["cell"] <= high:
-                    end = min(high, row["cell"] + width - 1)
-                    if row["count"] > target and row["cell"] < end and len(again) < cells // 8:
-                        again.append((row["cell"], end))
+        ranges = [(low, high, (high - low) // share + 1) for low, high in todo]
+        found, again = counted(ranges), []
+        for low, high, width in ranges:
+            for cell, count in found:
+                if low <= cell <= high:
+                    end = min(high, cell + width - 1)
+                    if count > target and cell < end and len(again) < cells // 8:
+                        again.append((cell, end))
                     else:
-                        sizes.append((row["cell"], row["count"]))
+                        sizes.append((cell, count))
         todo = again
     bounds, held = [], 0
     for start, count in sorted(sizes):
@@ -92,6 +91,21 @@ def quantile_bounds(rows: DataFrame, column: str, rows_per_bucket: int = 1_000_0
     return bounds
 
 
+def quantile_bounds(rows: DataFrame, column: str, rows_per_bucket: int = 1_000_000, cells: int = 8192) -> list[int]:
+    """``even_bounds`` of a column of whole numbers; its counts are combined within each task."""
+    ends = rows.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
+
+    def counted(ranges):
+        cell = F.lit(None).cast("bigint")
+        for low, high, width in ranges:
+            own = F.expr(f"{low}L + ((`{column}` - {low}L) div {width}L) * {width}L")
+            cell = F.when(F.col(column).between(low, high), own).otherwise(cell)
+        found = rows.groupBy(cell.alias("cell")).count().filter(F.col("cell").isNotNull())
+        return [(row["cell"], row["count"]) for row in found.collect()]
+
+    return even_bounds((ends["low"], ends["high"], ends["n"]), counted, rows_per_bucket, cells)
+
+
 def range_bucket(column: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at or below the value, by binary search."""
     if not bounds:

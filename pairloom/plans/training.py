@@ -15,7 +15,7 @@ from pairloom.operators.ngram import NgramModel, fit_ngrams, positions
 from pairloom.operators.split import split_fraction
 from pairloom.operators.vocabulary import full_vocabulary, learn_words
 from pairloom.settings import EPOCHS, SEQUENCE_LENGTH
-from pairloom.sources.stages import append_history, build_or_load, is_current, load_vocabulary, note_parameters, write_table
+from pairloom.sources.stages import append_history, build_or_load, fingerprint, is_current, load_vocabulary, note_parameters, write_table
 from pairloom.workspace import new_folder, stage
 
 
@@ -37,12 +37,14 @@ def prepare(
 ) -> Corpus:
     """Split, learn the vocabulary from the training outputs, encode.
 
-    Finished stages under ``folder`` are used again while the pairs, the split and the length are the same; a stage that
-    is built anew has all that follow it built anew.
+    Finished stages under ``folder`` are used again while the rows of the pairs, the split and the length are the same; a
+    stage that is built anew has all that follow it built anew. Rows are compared by a fingerprint, which reads them
+    once, so files rewritten at the same path are noticed and the same rows under another path are not built again.
     """
     spark = pairs.sparkSession
+    rows = fingerprint(pairs) if folder else None
     folder = folder or new_folder(spark, "corpus")
-    inputs = {"pairs": pairs.semanticHash(), "split": getattr(split, "__name__", repr(split))}
+    inputs = {"pairs": rows, "split": getattr(split, "__name__", repr(split))}
     rebuild = force or not is_current(spark, f"{folder}/cleaned", inputs)
     cleaned = build_or_load(spark, f"{folder}/cleaned", lambda: split(pairs), rebuild, inputs)
     words = f"{folder}/vocabulary"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.settings import VOCABULARY_BOUND
 
@@ -45,6 +46,18 @@ def is_current(spark: SparkSession, path: str, parameters: dict | None = None) -
     return stage_done(spark, noted) and spark.read.parquet(noted).first()["parameters"] == _noted(parameters)
 
 
+def fingerprint(table: DataFrame) -> str:
+    """What a table holds, whatever the order of its rows and files: names and types, rows, and sums of two row hashes.
+
+    Sums count repeated rows. Nulls are hashed apart from values, so a value that changes its column is a change.
+    """
+    columns = [part for name in table.columns for part in (F.isnull(F.col(f"`{name}`")), F.col(f"`{name}`"))]
+    hashes = (F.xxhash64(F.lit(mark), *columns).cast("decimal(20,0)") for mark in ("one", "other"))
+    sums = [F.coalesce(F.sum(h), F.lit(0)).cast("string") for h in hashes]
+    row = table.agg(F.count(F.lit(1)).cast("string").alias("n"), sums[0].alias("a"), sums[1].alias("b")).first()
+    return "/".join([table.schema.simpleString(), row["n"], row["a"], row["b"]])
+
+
 def _noted(parameters: dict) -> str:
     return json.dumps(parameters, sort_keys=True, default=str)
 

@@ -122,3 +122,105 @@ def test_tasks_need_no_copy_of_the_package(tmp_path):
     code = "from pyspark import cloudpickle; f = cloudpickle.load(open('sent', 'rb'))[0]; print(f(['a', 'b'], {('a', 'b'): (0, 'ab')}))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert done.stdout.strip() == "['ab']", done.stderr
+
+
+def keyed_table(keys):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE snippets (id BIGINT, title VARCHAR)")
+    db.execute("INSERT INTO snippets SELECT unnest(?::BIGINT[]), 't'", [list(keys)])
+    return lambda query: db.execute(query).fetchall()
+
+
+@pytest.mark.parametrize("keys", [
+    list(range(1000)),
+    [i**3 for i in range(-300, 300)] + [None] * 20,  # dense in the middle, far apart at the ends, and no key
+    [5] * 400 + list(range(10**12, 10**12 + 400)),  # one key with half of the rows
+    [7], [], [None, None],
+])
+def test_ranges_of_a_database_table(keys):
+    ask = keyed_table(keys)
+    bounds = P.key_bounds(ask, "snippets", "id", 50)
+    predicates = P.range_predicates("id", bounds)
+    counts = [ask(f"SELECT COUNT(*) FROM snippets WHERE {p}")[0][0] for p in predicates]
+    assert sum(counts) == len(keys)  # every row once: the conditions exclude each other
+    assert ask(f"SELECT COUNT(*) FROM snippets WHERE {' OR '.join(f'({p})' for p in predicates)}")[0][0] == len(keys)
+    without = [k for k in keys if k is not None]
+    hottest = max([without.count(k) for k in set(without)], default=0)
+    assert all(n <= max(50, hottest) + keys.count(None) for n in counts) and len(counts) <= len(without) // 20 + 8
+
+
+def test_many_ranges_take_several_queries(monkeypatch):
+    monkeypatch.setattr(P, "RANGES_PER_QUERY", 2)
+    keys = [10**10 * cluster + i for cluster in range(9) for i in range(60)]
+    asked, ask = [], keyed_table(keys)
+    bounds = P.key_bounds(lambda query: asked.append(query) or ask(query), "snippets", "id", 20)
+    counts = [ask(f"SELECT COUNT(*) FROM snippets WHERE {p}")[0][0] for p in P.range_predicates("id", bounds)]
+    assert sum(counts) == len(keys) and max(counts) <= 20 and len(asked) > 5
+    assert all(query.count("WHEN") <= 2 for query in asked)
+
+
+def test_database_table_is_asked_by_ranges():
+    seen, ask = [], keyed_table(range(100))
+
+    class Reader:
+        """Stands for the session, its reader and the table it loads."""
+
+        def __getattr__(self, name):
+            return self
+
+        def format(self, name):
+            return self
+
+        def options(self, **options):
+            self.query = options["query"]
+            return self
+
+        def load(self):
+            return self
+
+        def collect(self):
+            return ask(self.query)
+
+        def jdbc(self, url, table, predicates, properties):
+            seen.append((url, table, predicates, properties))
+            return "table"
+
+    assert P.read_pairs(Reader(), "jdbc:x:y", "snippets", key="id", rows_per_task=50, fetchsize=10) == "table"
+    (url, table, predicates, properties), = seen
+    assert (url, table, properties) == ("jdbc:x:y", "snippets", {"fetchsize": "10"})
+    assert len(predicates) >= 8 and predicates[0].endswith("OR id IS NULL")
+
+
+def test_fingerprint_follows_the_rows(spark):
+    schema = "pair_id long, title string, code string"
+    table = [(1, "a", None), (2, None, "a"), (3, "b", "c"), (3, "b", "c")]
+    one = stages.fingerprint(spark.createDataFrame(table, schema))
+    assert stages.fingerprint(spark.createDataFrame(table[::-1], schema).repartition(3)) == one
+    changed = [
+        [(1, None, "a"), *table[1:]], table[:3], [*table, table[3]], [*table[:2], (3, "b", "d"), (3, "b", "c")], [],
+        [(1, "a", None), (2, "a", None), *table[2:]],
+    ]
+    found = [stages.fingerprint(spark.createDataFrame(t, schema)) for t in changed]
+    assert len({one, *found}) == len(changed) + 1
+    assert stages.fingerprint(spark.createDataFrame(table, schema.replace("code", "other"))) != one
+
+
+def test_rewritten_input_is_noticed(spark):
+    from pairloom.plans import training
+
+    source, folder = new_folder(spark, "test-input"), new_folder(spark, "test-corpus")
+
+    def prepared(texts, path):
+        rows = [(i, t, f"{t} answer") for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, "pair_id long, title string, code string").repartition(2).write.mode("overwrite").parquet(path)
+        corpus = training.prepare(spark.read.parquet(path), folder, length=8)
+        return {r["title"] for r in corpus.pairs.collect()}, corpus.encoded.inputFiles()
+
+    first, files = prepared(["red", "blue", "green"], source)
+    assert first == {"red", "blue", "green"}
+    again, same = prepared(["red", "blue", "green"], f"{source}-moved")  # equal rows, other files: nothing is built
+    assert again == first and same == files
+    changed, other = prepared(["red", "blue", "black"], source)  # the same path, other rows
+    assert changed == {"red", "blue", "black"} and not set(other) & set(files)
