@@ -1,11 +1,13 @@
 """Cases that used to give wrong rows without a word."""
 
+import math
 import sqlite3
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.functions import scoring
 from pairloom.operators import bpe, encode, history, metrics, ranking, split, vectors, vocabulary
 from pairloom.plans import training
 from pairloom.sources import pairs as P
@@ -174,3 +176,27 @@ def test_a_stream_that_goes_on(spark, tmp_path):
         assert got == {1000: [1, 5, 3, 2], 2000: [1, 5, 2, 0]}
     finally:
         query.stop()
+
+
+def test_averages_are_handed_back_in_parts(spark, monkeypatch):
+    """Averaged vectors leave a task in Arrow batches of bounded size, whatever the sequences of a batch."""
+    monkeypatch.setattr(vectors, "AVERAGES", 3)
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 5)], "id int, vector array<double>")
+    rows = spark.createDataFrame([(1, [1, 2, 0], [3, 4]), (2, [], [1]), (3, [4, 0, 4, 1], [2]), (4, None, [1]), (5, [2], [0])], "pair_id long, q array<int>, k array<int>").coalesce(1)
+    out = vectors.attend(rows, table, "pair_id", "q", "k")
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    got = {(r["pair_id"], r["pos"]): r["vector"] for r in out.collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (3, 0), (3, 2), (3, 3)]
+    assert got[3, 0] == got[3, 3] == [2.0, 1.0]
+
+
+def test_quick_rounding_is_that_of_the_digits(spark):
+    """Both forms of rounding give what F.round gives, at halves and their neighbours, for huge, tiny, signed and missing values."""
+    halves = [s * (k + 0.5) / 1e6 for k in (0, 1, 2, 7, 12345, 999_999, 123_456_789_012) for s in (1, -1)]
+    near = [float(np.nextafter(x, x + d)) for x in halves for d in (1, -1)]
+    values = halves + near + [0.0, -0.0, -1e-9, 1e-300, 1e300, 0.1, 1.0000005, 2.675, math.pi * 1e5, float("inf"), float("-inf"), float("nan")]
+    values += np.random.default_rng(1).normal(size=300).tolist()
+    rows = spark.createDataFrame([(x,) for x in [*values, None]], "x double").select("x", F.round("x", 6).alias("want"), scoring.rounded(F.col("x")).alias("got")).collect()
+    assert all(r["want"] == r["got"] or r["want"] != r["want"] and r["got"] != r["got"] or r["want"] is r["got"] is None for r in rows)
+    want = np.array([r["want"] for r in rows if r["x"] is not None])
+    assert np.array_equal(vectors.rounded(np.array([values]), 6)[0], want, equal_nan=True)
