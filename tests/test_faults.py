@@ -4,6 +4,8 @@ import math
 import sqlite3
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +180,19 @@ def test_a_stream_that_goes_on(spark, tmp_path):
         query.stop()
 
 
+def test_long_batches_are_worked_on_in_slices(monkeypatch):
+    """The memory of a subword task follows the slice, not the Arrow batch that it comes in; the results are those of whole batches."""
+    rows = [["ab", "abc"] * 40, [], None, ["abc"] * 500, ["x"]] * 20
+    batch = pa.RecordBatch.from_pydict({"k": pa.array(range(len(rows))), "words": pa.array(rows, pa.list_(pa.string()))})
+    shared = type("Shared", (), {"value": ({("61", "62"): (0, "6162")}, {"6162": 9, "61": 1, "62": 2, "63": 3, "78": 4})})
+    whole = pa.Table.from_batches(list(bpe._to_subwords([batch], shared, "k", 1000))).to_pylist()
+    monkeypatch.setattr(encode, "PIECES", 600)
+    parts = list(bpe._to_subwords([batch], shared, "k", 1000))
+    assert pa.Table.from_batches(parts).to_pylist() == whole
+    assert len(parts) > 10 and all(p.num_rows == 1 or pc.sum(pc.list_value_length(p.column("ids"))).as_py() <= 2 * 600 for p in parts)
+    assert whole[0]["ids"] == [9, 9, 3] * 40 and whole[1]["ids"] == [] and whole[3]["ids"] == [9, 3] * 500
+
+
 def test_averages_are_handed_back_in_parts(spark, monkeypatch):
     """Averaged vectors leave a task in Arrow batches of bounded size, whatever the sequences of a batch."""
     monkeypatch.setattr(vectors, "AVERAGES", 3)
