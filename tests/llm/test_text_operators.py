@@ -229,6 +229,54 @@ def test_passages_whose_earliest_relative_is_a_variant(spark):
         assert copies <= set().union(*(f for f in found if f <= copies)), copies
 
 
+def test_passages_whose_hub_accepts_them_are_paired(spark):
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, want = [], set()
+    for k in range(8):  # one edit each against the earliest, which is similar enough to all of them
+        passage = fresh(100)
+        for j in range(4):
+            part = list(passage)
+            if j:
+                part[20 * j] = f"edit{k}x{j}"
+            rows.append((10 * k + j, " ".join(fresh(40) + part + fresh(40))))
+        want |= {(10 * k + j, 10 * k + i) for j in range(4) for i in range(j)}
+    got = compact_windows.passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.other_doc_id) for r in got} == want
+    assert {(r.doc_id, r.class_id) for r in got} == {(10 * k + j, 10 * k) for k in range(8) for j in range(1, 4)}
+
+
+def test_hot_passages_are_one_class(spark):
+    rng = np.random.default_rng(17)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage, other = fresh(70), " ".join(fresh(60))
+    rows = [(k, " ".join(fresh(30) + passage[:35] + ([f"e{k}"] if k % 3 else []) + passage[35:] + fresh(30))) for k in range(3 * compact_windows.LIMIT)]
+    rows += [(1000 + k, other if k % 2 else other.upper()) for k in range(3 * compact_windows.LIMIT)]
+    got = compact_windows.passages(frame(spark, rows)).collect()
+    for start, last in ((0, 3 * compact_windows.LIMIT), (1000, 1000 + 3 * compact_windows.LIMIT)):
+        assert {r.doc_id for r in got if r.class_id == start} == set(range(start + 1, last))
+    copies = [r for r in got if r.doc_id > 1000]
+    assert {(r.start_word, r.n_words, r.other_doc_id, r.similarity) for r in copies} == {(0, 60, 1000, 1.0)} and len(copies) == 3 * compact_windows.LIMIT - 1
+
+
+def test_similar_runs_by_force():
+    rng = np.random.default_rng(19)
+    parts = []
+    for _ in range(60):
+        a = rng.integers(0, 1 << 32, 150)
+        b = np.delete(a.copy(), rng.integers(0, 150, int(rng.integers(0, 8))))
+        b[rng.integers(0, len(b), int(rng.integers(0, 12)))] = 5
+        parts += [a, np.concatenate([rng.integers(0, 1 << 32, 9), b])]
+    size = np.array([len(x) for x in parts])
+    start = np.cumsum(size) - size
+    tokens = np.concatenate(parts)
+    of, first, last, other, stop, similarity = compact_windows.similar_runs(tokens, start[::2], size[::2], start[1::2], size[1::2], np.full(60, 9))
+    assert len(set(of.tolist())) > 20 and (last - first >= compact_windows.SHORTEST).all() and (similarity >= compact_windows.SIMILAR).all()
+    for k, i, j, x, y, s in zip(of, first, last, other, stop, similarity):
+        a, b = set(parts[2 * k][i:j].tolist()), set(parts[2 * k + 1][x:y].tolist())
+        assert abs(len(a & b) / len(a | b) - s) < 1e-12
+
+
 def test_passages_at_different_shifts(spark):
     rng = np.random.default_rng(5)
     fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
