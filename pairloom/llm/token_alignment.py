@@ -6,10 +6,11 @@ tokens of both end cut a text's tokens into groups, and all A-B pairs of a group
 1. *Segments.* Neither vocabulary joins a character that is no white space with a blank behind it, so a text is cut there, each
    different segment is tokenized and aligned once per task (at most ``SEGMENTS``, then it starts anew), and all values of
    a document are sums over its segments.
-2. *First pass.* Every task counts in how many of its documents each id pair is linked, and writes these partial counts.
+2. *One pass over the texts.* Every task writes per document its numbers, its digest and its distinct linked pairs with how often
+   each occurs, and counts in how many of its documents each id pair is linked.
 3. *Counts.* `pair_counts` builds a minimal perfect hash function of the distinct pairs and sums the partial counts as dense
    vectors up a tree; the keys are kept beside the counts, so every lookup is verified.
-4. *Second pass.* Documents are aligned again and look their pairs up. Function, keys and counts go to the tasks while they
+4. *Lookups.* The written pairs are looked up; no text is tokenized again. Function, keys and counts go to the tasks while they
    take at most ``TABLE_BYTES``; beyond that the pairs of each document are joined with the counts by shuffle, with the same
    result (a hot pair is on one side only, where Spark splits skewed partitions).
 
@@ -48,8 +49,12 @@ SHIFT = 16  # bits for an id of B in a key
 
 SEGMENT = re.compile(r" \s*(?:\S+(?:[^\S ]\s*)?)*+")
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+ROWS = 1000  # documents whose pairs are looked up at a time
 ROW = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
+TEXTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, row long, keys array<long>, times array<long>"
+PARTS = "part int, key long, n long"
+
 
 class Pieces:
     """A sentencepiece model: ids of segments, and the bytes of each id."""
@@ -84,8 +89,8 @@ def _digits(limit: int) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Segments met by a task, with everything that is known of each."""
 
-    def __init__(self, v: Vocabulary, model: bytes, lookup=None, shown: bool = True):
-        self.v, self.pieces, self.lookup, self.shown = v, Pieces(model), lookup, shown
+    def __init__(self, v: Vocabulary, model: bytes):
+        self.v, self.pieces = v, Pieces(model)
         self.encoder = Encoder(v, specials=False)
         self.digits, self.digit_bounds = _digits(max(v.size, len(self.pieces.bounds)))
         self._forget()
@@ -93,14 +98,12 @@ class Aligner:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.valid = np.zeros(0, dtype=bool)
-        self.numbers = np.zeros((0, len(NUMBERS) + 2), dtype=np.int64)  # and n_best, count_sum
+        self.numbers = np.zeros((0, len(NUMBERS)), dtype=np.int64)
         self.keys, self.times, self.pair_bounds = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.text, self.text_bounds = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def learn(self, segments: list[str]) -> None:
         numbers, valid, keys, times, pairs, text, sizes = self._aligned(segments)
-        if self.lookup is not None:
-            numbers[:, 4:] = self.lookup(keys, times, np.append(0, np.cumsum(pairs)))
         self.known.update(zip(segments, range(len(self.known), len(self.known) + len(segments))))
         self.valid, self.numbers = np.concatenate([self.valid, valid]), np.concatenate([self.numbers, numbers])
         self.keys, self.times = np.concatenate([self.keys, keys]), np.concatenate([self.times, times])
@@ -130,13 +133,11 @@ class Aligner:
         group_a, group_b = np.searchsorted(cut, end_a), np.searchsorted(cut, end_b)
         n_a, n_b = np.bincount(group_a, minlength=len(cut)), np.bincount(group_b, minlength=len(cut))
         group_seg = seg_a[np.cumsum(n_a) - 1] if len(cut) else np.zeros(0, np.int64)
-        numbers = np.zeros((n, len(NUMBERS) + 2), dtype=np.int64)
+        numbers = np.zeros((n, len(NUMBERS)), dtype=np.int64)
         for column, (where, weight) in enumerate(((seg_a, None), (seg_b, None), (group_seg, None), (group_seg, n_a * n_b))):
             numbers[:, column] = np.bincount(where, weight, minlength=n)
         keys, times, pairs = self._pairs(n, a, b, seg_a, group_a, n_b)
-        text, sizes = np.zeros(0, np.uint8), np.zeros(n, np.int64)
-        if self.shown:
-            text, sizes = self._groups(n, a, b, group_a, group_b, n_a, n_b, group_seg)
+        text, sizes = self._groups(n, a, b, group_a, group_b, n_a, n_b, group_seg)
         return numbers, valid, keys, times, pairs, text, sizes
 
     def _words(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,12 +213,19 @@ class Aligner:
         bad = np.append(0, np.cumsum(~self.valid[at]))[bounds]
         return (np.diff(bad) == 0) & (np.diff(bounds) > 0)
 
-    def doc_pairs(self, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text, segment) as text numbers and segments, of whole texts only."""
+    def doc_pairs(self, at: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text << 33 | pair), in order, of whole texts, and how often each occurs."""
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        kept = self.whole(at, bounds)[doc]
-        both = np.unique(doc[kept] * len(self.valid) + at[kept])
-        return np.divmod(both, max(1, len(self.valid)))
+        kept = whole[doc]
+        both, often = np.unique(doc[kept] * len(self.valid) + at[kept], return_counts=True)
+        doc, seg = np.divmod(both, max(1, len(self.valid)))
+        size = self.pair_bounds[seg + 1] - self.pair_bounds[seg]
+        place = packed.ranges(self.pair_bounds[seg], size)
+        key = np.repeat(doc << 33, size) | self.keys[place]
+        order = np.argsort(key)
+        key, times = key[order], (self.times[place] * np.repeat(often, size))[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        return key[first], np.add.reduceat(times, first) if len(first) else times
 
 
 def _summed(found: list) -> tuple[np.ndarray, np.ndarray]:
@@ -230,17 +238,28 @@ def _summed(found: list) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(at, np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
 
 
-def _count(batches, v, model):
-    """Partial counts of one task: in how many of its documents each pair is linked."""
-    aligner, held, size = Aligner(v, model, shown=False), [], 0
-    part = TaskContext.get().partitionId()
+def _texts(batches, v, model):
+    """Rows of all documents, and partial counts of one task: in how many of its documents each pair is linked."""
+    aligner, held, size = Aligner(v, model), [], 0
+    part, done = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for _, texts in chunks(batch):
+        for first, texts in chunks(batch):
             at, bounds = aligner.rows(texts)
-            doc, seg = aligner.doc_pairs(at, bounds)
-            start, width = aligner.pair_bounds[seg], aligner.pair_bounds[seg + 1] - aligner.pair_bounds[seg]
-            key = np.unique(np.repeat(doc << 33, width) | aligner.keys[packed.ranges(start, width)])
-            held.append(np.unique(key & ((1 << 33) - 1), return_counts=True))
+            whole = aligner.whole(at, bounds)
+            sums = np.concatenate([np.zeros((1, aligner.numbers.shape[1]), np.int64), np.cumsum(aligner.numbers[at], axis=0)])[bounds]
+            numbers = np.where(whole[:, None], np.diff(sums, axis=0), 0)
+            width = aligner.text_bounds[at + 1] - aligner.text_bounds[at]
+            text = aligner.text[packed.ranges(aligner.text_bounds[at], width)].tobytes()
+            ends = np.append(0, np.cumsum(width))[bounds].tolist()
+            view = memoryview(text)
+            digests = [hashlib.sha256(view[x : y - 1]).hexdigest() if w else "" for x, y, w in zip(ends[:-1], ends[1:], whole.tolist())]
+            key, times = aligner.doc_pairs(at, bounds, whole)
+            per_doc, key = np.bincount(key >> 33, minlength=len(texts)), key & ((1 << 33) - 1)
+            columns = [batch.column("doc_id").slice(first, len(texts)), *(pa.array(numbers[:, k]) for k in range(numbers.shape[1])), pa.array(digests, pa.string())]
+            columns += [pa.array(np.arange(len(texts)) + ((part << 40) + done)), packed.list_array(key, per_doc), packed.list_array(times, per_doc)]
+            done += len(texts)
+            yield _with_nulls(columns, 0)
+            held.append(np.unique(key, return_counts=True))
             size += len(held[-1][0])
             if size > HELD:
                 held = [_summed(held)]
@@ -251,10 +270,18 @@ def _count(batches, v, model):
     yield from _partial(part, *_summed(held))
 
 
+def _with_nulls(columns: list[pa.Array], first: int) -> pa.RecordBatch:
+    """A batch of the columns of TEXTS and PARTS, of which those from ``first`` on are given."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split(" ") for f in f"{TEXTS}, {PARTS}".split(", ")]
+    every = [columns[i - first] if first <= i < first + len(columns) else pa.nulls(len(columns[0]), kinds[kind]) for i, (_, kind) in enumerate(fields)]
+    return pa.RecordBatch.from_arrays(every, names=[name for name, _ in fields])
+
+
 def _partial(part: int, keys: np.ndarray, counts: np.ndarray):
     for i in range(0, len(keys), 1 << 16):
         k, c = keys[i : i + (1 << 16)], counts[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part, np.int32)), pa.array(k), pa.array(c.astype(np.int64))], names=["part", "key", "n"])
+        yield _with_nulls([pa.array(np.full(len(k), part, np.int32)), pa.array(k), pa.array(c.astype(np.int64))], len(TEXTS.split(", ")))
 
 
 class Lookup:
@@ -266,57 +293,40 @@ class Lookup:
         self.counts = np.concatenate([np.asarray(r["counts"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
 
     def __call__(self, keys: np.ndarray, times: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(n_best, count_sum) of every segment, whose pairs lie between the bounds."""
+        """(n_best, count_sum) of every document, whose pairs lie between the bounds."""
         slot = self.function.slots(keys)
         if (slot < 0).any() or (self.keys[slot] != keys).any():
-            raise ValueError("a pair of the second pass was not counted in the first")
+            raise ValueError("a pair of a document was not counted")
         count = self.counts[slot]
         out = [times * (count == self.best[keys >> SHIFT]), times * count]
         return np.stack([np.append(0, np.cumsum(x))[bounds[1:]] - np.append(0, np.cumsum(x))[bounds[:-1]] for x in out], axis=1)
 
 
-def _score(batches, v, model, shared, with_pairs: bool):
-    lookup = Lookup(*shared.value) if shared is not None else None
-    aligner = Aligner(v, model, lookup)
-    part, done = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for first, texts in chunks(batch):
-            at, bounds = aligner.rows(texts)
-            whole = aligner.whole(at, bounds)
-            sums = np.concatenate([np.zeros((1, aligner.numbers.shape[1]), np.int64), np.cumsum(aligner.numbers[at], axis=0)])[bounds]
-            numbers = np.where(whole[:, None], np.diff(sums, axis=0), 0)
-            width = aligner.text_bounds[at + 1] - aligner.text_bounds[at]
-            text = aligner.text[packed.ranges(aligner.text_bounds[at], width)].tobytes()
-            ends = np.append(0, np.cumsum(width))[bounds].tolist()
-            view = memoryview(text)
-            digests = [hashlib.sha256(view[x : y - 1]).hexdigest() if w else "" for x, y, w in zip(ends[:-1], ends[1:], whole.tolist())]
-            columns = [batch.column("doc_id").slice(first, len(texts)), *(pa.array(numbers[:, k]) for k in range(numbers.shape[1])), pa.array(digests, pa.string())]
-            names = ["doc_id", *NUMBERS, "n_best", "count_sum", "groups_sha256"]
-            if with_pairs:
-                doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-                kept = whole[doc]
-                doc, seg = doc[kept], at[kept]
-                size = aligner.pair_bounds[seg + 1] - aligner.pair_bounds[seg]
-                place = packed.ranges(aligner.pair_bounds[seg], size)
-                key, index = np.unique(np.repeat(doc << 33, size) | aligner.keys[place], return_inverse=True)
-                times = np.bincount(index, aligner.times[place], minlength=len(key)).astype(np.int64)
-                per_doc = np.bincount(key >> 33, minlength=len(texts))
-                columns += [pa.array(np.arange(len(texts)) + ((part << 40) + done)), packed.list_array(key & ((1 << 33) - 1), per_doc), packed.list_array(times, per_doc)]
-                names += ["row", "keys", "times"]
-            done += len(texts)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+def _score(batches, shared):
+    lookup = Lookup(*shared.value)
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            keys, bounds = packed.list_bounds(batch.column("keys"))
+            times, _ = packed.list_bounds(batch.column("times"))
+            found = lookup(keys, times, bounds)
+            names = [f.split(" ")[0] for f in ROW.split(", ")]
+            new = {"n_best": pa.array(found[:, 0]), "count_sum": pa.array(found[:, 1])}
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names=names)
 
 
 def default_model() -> str:
     return default_path("piece_bpe_32k.model")
 
 
-def counts(docs: DataFrame, v: Vocabulary, model: bytes) -> tuple[DataFrame, int]:
-    """The first pass: `pair_counts.counted` of the pairs (A id << SHIFT | B id) over the rows of ``docs``."""
+def counts(docs: DataFrame, v: Vocabulary, model: bytes) -> tuple[DataFrame, DataFrame, int]:
+    """The pass over the texts: the rows of the documents with their pairs, and `pair_counts.counted` of the pairs
+    (A id << SHIFT | B id) over these rows."""
     given = jobs.with_columns(docs, doc_id="long", text="string")
-    partial = given.mapInArrow(lambda batches: _count(batches, v, model), "part int, key long, n long")
-    table, buckets = counted(jobs.staged(partial, "partial"))
-    return jobs.staged(table, "pairs"), buckets
+    both = jobs.staged(given.mapInArrow(lambda batches: _texts(batches, v, model), f"{TEXTS}, {PARTS}"), "aligned")
+    rows = both.where("row IS NOT NULL").drop("part", "key", "n")
+    table, buckets = counted(both.where("key IS NOT NULL").select("part", "key", "n"))
+    return rows, jobs.staged(table, "pairs"), buckets
 
 
 def pair_table(table: DataFrame) -> DataFrame:
@@ -330,21 +340,18 @@ def aligned(spark: SparkSession, docs: DataFrame, path_a: str | None = None, pat
     v = vocabulary(path_a or default_path())
     with open(path_b or default_model(), "rb") as file:
         model = file.read()
-    table, buckets = counts(docs, v, model)
+    scored, table, buckets = counts(docs, v, model)
     best = pair_table(table).groupBy("a").agg(F.max("n").alias("best"))
     size = table.agg(F.coalesce(F.sum(F.size("keys") * 20 + F.octet_length("bits")), F.lit(0))).first()[0]
-    given = jobs.with_columns(docs, doc_id="long", text="string")
     if size <= table_bytes:
         most = np.zeros(v.size, dtype=np.int64)
         for a, n in best.collect():  # at most one row per id of A
             most[a] = n
         rows = [{"bucket": r["bucket"], "sizes": r["sizes"], "bits": bytes(r["bits"]), "keys": np.array(r["keys"], np.int64), "counts": np.array(r["counts"], np.int64)} for r in table.toLocalIterator()]
         shared = spark.sparkContext.broadcast((sorted(rows, key=lambda r: r["bucket"]), buckets, most))
-        return given.mapInArrow(lambda batches: _score(batches, v, model, shared, False), ROW)
-    scored = given.mapInArrow(lambda batches: _score(batches, v, model, None, True), f"{ROW}, row long, keys array<long>, times array<long>")
-    scored = jobs.staged(scored, "aligned")
+        return scored.mapInArrow(lambda batches: _score(batches, shared), ROW)
     told = pair_table(table).join(best, "a").select((F.shiftleft("a", SHIFT) + F.col("b")).alias("key"), "n", (F.col("n") == F.col("best")).alias("is_best"))
     links = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("p")).select("row", F.col("p.keys").alias("key"), F.col("p.times").alias("times"))
     sums = links.join(told, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("_sum"), F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("_best"))
-    out = scored.drop("n_best", "count_sum", "keys", "times").join(sums, "row", "left")
+    out = scored.drop("keys", "times").join(sums, "row", "left")
     return out.select("doc_id", *NUMBERS, F.coalesce("_best", F.lit(0)).cast("long").alias("n_best"), F.coalesce("_sum", F.lit(0)).cast("long").alias("count_sum"), "groups_sha256")

@@ -150,6 +150,12 @@ def test_alignment(spark, given, forced, table_bytes):
     assert collections.Counter(map(tuple, got.collect())) == forced
 
 
+@pytest.mark.parametrize("table_bytes", [token_alignment.TABLE_BYTES, 0])
+def test_texts_are_read_once(spark, given, table_bytes):
+    plan = token_alignment.aligned(spark, given, table_bytes=table_bytes)._jdf.queryExecution().analyzed().toString()
+    assert "text#" not in plan and "keys#" in plan
+
+
 def test_alignment_of_nothing(spark):
     for rows in ([], [(1, None), (None, ""), (2, "▁")]):
         for size in (token_alignment.TABLE_BYTES, 0):
