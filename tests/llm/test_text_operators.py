@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairloom.llm import compact_windows, jaccard_join, jobs, packed, repetition, suffix_dedup
@@ -293,6 +295,67 @@ def test_passages_at_different_shifts(spark):
         assert len(covered & set(range(start, end))) > 0.85 * (end - start), (doc, start, end)
 
 
+def bucket_of(rng, n, rows=8, docs=2000):
+    """The table of one bucket as ``_scan`` makes it: entries with repeated keys, some hot, and whole texts with copies."""
+    batches = []
+    for _ in range(rows):
+        entry = np.zeros(n // rows, compact_windows.ENTRY)
+        entry["key"] = packed.mix(rng.integers(0, n // 3, len(entry)).astype(np.uint64))
+        entry["key"][:100] = 7
+        entry["far"], entry["pivot"] = rng.integers(0, 9, len(entry)), rng.integers(0, 5000, len(entry))
+        entry["back"], entry["ahead"] = rng.integers(0, 90, len(entry)), rng.integers(0, 90, len(entry))
+        entry["owner"], entry["function"] = rng.integers(0, docs, len(entry)), entry["key"] % np.uint64(compact_windows.FUNCTIONS)
+        ids = rng.integers(0, 50_000, docs)
+        whole = np.zeros(40, compact_windows.WHOLE)
+        whole["doc"], whole["same"], whole["size"] = rng.integers(0, 50_000, 40), rng.integers(0, 30, 40), 60
+        pairs = np.stack([ids, ids // 2], axis=1).ravel()
+        for held, part, copies in ((pairs, entry.tobytes(), b""), ([], b"", whole.tobytes())):
+            columns = [pa.array([held], pa.list_(pa.int64())), pa.array([part], pa.binary()), pa.array([copies], pa.binary())]
+            batches.append(pa.RecordBatch.from_arrays(columns, names=["docs", "entries", "wholes"]))
+    return pa.Table.from_batches(batches).combine_chunks()
+
+
+def links_of(table):
+    return np.concatenate([np.frombuffer(x.as_buffer(), compact_windows.LINK) for x in table.column("links")])
+
+
+def test_a_bucket_is_linked_in_slices_with_little_beside_it():
+    table = bucket_of(np.random.default_rng(23), 1 << 19)
+    tracemalloc.start()
+    got = compact_windows._link_bucket(table, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * table.nbytes, (peak, table.nbytes)
+    doc, same, entry = [], [], []
+    for row in table.to_pylist():
+        mine = np.frombuffer(row["entries"], compact_windows.ENTRY)
+        ids = np.array(row["docs"], np.int64)
+        doc.append(ids[2 * mine["owner"].astype(int)])
+        same.append(ids[2 * mine["owner"].astype(int) + 1])
+        entry.append(mine)
+    whole = np.concatenate([np.frombuffer(row["wholes"], compact_windows.WHOLE) for row in table.to_pylist()])
+    want = np.concatenate([compact_windows.linked(*map(np.concatenate, (doc, same, entry))), compact_windows._equal_texts(whole)])
+    assert len(want) > 100_000 and len(want[want["function"] == compact_windows.EQUAL]) > 200
+    assert np.array_equal(np.sort(links_of(got)), np.sort(want))
+
+
+def test_links_of_a_part_are_joined_in_slices(monkeypatch):
+    rng = np.random.default_rng(29)
+    link = np.zeros(30_000, compact_windows.LINK)
+    link["doc"], link["hub"] = rng.integers(100, 200, 30_000), rng.integers(0, 40, 30_000)
+    link["start"], link["function"] = rng.integers(0, 900, 30_000), rng.integers(0, compact_windows.EQUAL + 1, 30_000)
+    link["other"], link["size"] = link["start"] + rng.integers(0, 20, 30_000), rng.integers(46, 90, 30_000)
+    rows = pa.array([link[i : i + 1000].tobytes() for i in range(0, 30_000, 1000)], pa.binary())
+    table = pa.Table.from_batches([pa.RecordBatch.from_arrays([part], names=["links"]) for part in (rows[:10], rows[10:])])
+    whole = sorted(map(repr, compact_windows._interval_join(table).to_pylist()))
+    parts = []
+    agreeing = compact_windows._agreeing
+    monkeypatch.setattr(compact_windows, "_agreeing", lambda link: parts.append(len(link)) or agreeing(link))
+    monkeypatch.setattr(compact_windows, "LINKS", 2000)
+    assert sorted(map(repr, compact_windows._interval_join(table).to_pylist())) == whole and len(whole) > 4000
+    assert sum(parts) == 30_000 and len(parts) > 10 and max(parts) < 4000
+
+
 def test_empty_tables(no_docs):
     assert suffix_dedup.deduplicated(no_docs).count() == 0
     assert repetition.judged(no_docs).count() == 0
