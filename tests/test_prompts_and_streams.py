@@ -84,3 +84,15 @@ def test_running_metrics_end_at_the_batch_result(spark):
     expected = {r["epoch"]: tuple(r)[1:] for r in whole.collect()}
     got = {r["epoch"]: tuple(r)[1:] for r in live_metrics.latest(spark, out).collect()}
     assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_the_query_answers_at_full_length(spark, monkeypatch, rows):
+    """Answers may be as long as a prompt, not a few tokens; the steps themselves are compared with the SQL."""
+    from pairloom.plans.queries import QUERIES
+
+    folder, asked = new_folder(spark, "test-full"), []
+    spark.createDataFrame(TURNS, live.TURNS_SCHEMA).write.parquet(f"{folder}/conversations.parquet")
+    greedy = live.decode_greedy
+    monkeypatch.setattr(live, "decode_greedy", lambda sources, model, length=100, **options: asked.append(length) or greedy(sources, model, 1, **options))
+    assert len(rows(QUERIES["stream_answers"](spark, folder))) == 24
+    assert set(asked) == {live.PROMPT_LENGTH} == {100}
