@@ -261,6 +261,24 @@ def test_hot_passages_are_one_class(spark):
     assert {(r.start_word, r.n_words, r.other_doc_id, r.similarity) for r in copies} == {(0, 60, 1000, 1.0)} and len(copies) == 3 * compact_windows.LIMIT - 1
 
 
+def test_all_pairs_of_a_hot_passage_are_rows(spark, monkeypatch):
+    """A passage that more texts have than a group may have windows: every two of them are a row, also those that the earliest one refuses."""
+    monkeypatch.setattr(compact_windows, "LIMIT", 8)
+    monkeypatch.setattr(compact_windows, "TILE", 5)
+    monkeypatch.setattr(compact_windows, "LINKS", 7)
+    rng = np.random.default_rng(31)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage, n = fresh(120), 23
+    part = [list(passage) for _ in range(n)]
+    part[0][70:] = fresh(50)  # the earliest has a little more than half of it
+    rows = [(k, " ".join(fresh(30) + part[k] + fresh(30))) for k in range(n)]
+    got = compact_windows.passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.other_doc_id) for r in got} == {(j, i) for j in range(n) for i in range(j)}
+    whole = {(r.doc_id, r.other_doc_id) for r in got if r.n_words >= 110}
+    assert whole == {(j, i) for j in range(n) for i in range(1, j)}
+    assert {r.class_id for r in got} == {0}
+
+
 def test_similar_runs_by_force():
     rng = np.random.default_rng(19)
     parts = []
